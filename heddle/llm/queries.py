@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup_stream, langid_zstd, packing, piece_bpe, sharding, simhash_gray
+from . import dedup_stream, langid_zstd, packing, pii_feistel, piece_bpe, quality_kn, sharding, simhash_gray
 from .common import arrow_limits, ship
 
 
@@ -18,12 +18,14 @@ def _ready(query):
 
 
 _ALL = [
+    pii_feistel.op1_feistel_pseudonyms,
     dedup_stream.op3_streaming_dedup,
     langid_zstd.op4_compression_langid,
     simhash_gray.op6_simhash_gray,
     sharding.op7_sampled_splitters,
     packing.op8_pattern_packing,
     piece_bpe.op9_piece_bpe,
+    quality_kn.op10_kneser_ney_quality,
 ]
 QUERIES = {q.__name__: _ready(q) for q in _ALL}
 ORACLES = {"op3_streaming_dedup": dedup_stream.OP3_SQL}
