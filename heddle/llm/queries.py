@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup_stream, langid_zstd, packing, pii_feistel, piece_bpe, quality_kn, sharding, simhash_gray
+from . import dedup_stream, hmm_lm, langid_zstd, packing, pii_feistel, piece_bpe, quality_kn, sharding, simhash_gray
 from .common import arrow_limits, ship
 
 
@@ -19,6 +19,7 @@ def _ready(query):
 
 _ALL = [
     pii_feistel.op1_feistel_pseudonyms,
+    hmm_lm.op2_hidden_markov,
     dedup_stream.op3_streaming_dedup,
     langid_zstd.op4_compression_langid,
     simhash_gray.op6_simhash_gray,
