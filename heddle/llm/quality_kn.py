@@ -117,6 +117,12 @@ def _payload(batches):
         yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([raw], pa.binary())], ["pack", "rows"])
 
 
+def _row_hash(text: str) -> int:
+    """What xxhash64() gives in SQL."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 SCORED = "doc_id long, lang string, role int, n_chars long, nll double, row_hash long"
 
 
@@ -137,7 +143,7 @@ def _score(left: pa.Table, right: pa.Table) -> pa.Table:
                 raise RuntimeError("an n-gram that the first scan didn't see: its rows changed between two scans")
             sums = np.add.reduceat(value[k].astype(float), np.cumsum(size) - size)
             for r, n, s in zip(rows[at : at + len(own)], size.tolist(), sums.tolist(), strict=True):
-                for col, v in zip(out, (r[0], r[1], r[2], n, s, xxhash.xxh64_intdigest(r[3]) - (1 << 63)), strict=True):
+                for col, v in zip(out, (r[0], r[1], r[2], n, s, _row_hash(r[3])), strict=True):
                     col.append(v)
             at += len(own)
     kinds = pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64()

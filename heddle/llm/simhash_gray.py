@@ -8,7 +8,10 @@ fingerprints are sorted by Gray rank and grouped; each group keeps the bits that
 its members share (mask and pattern), upper nodes those that their groups share.
 Two nodes descend together, adding up the differences in the bits that both fix;
 pairs of nodes that differ in more than `most` bits are left with all below them.
-A cell gives a spanning forest of its links, never all pairs; the forests' edges
+Near-duplicates at a shingle similarity (near_duplicates()) take the same way with
+two prints of a text: the SimHash of its long words finds candidates in a wider
+radius, and a 512-bit sketch of its five-word shingles, carried with it, tells the
+similarity of each candidate pair. A cell gives a spanning forest of its links, never all pairs; the forests' edges
 meet in alternating large-star and small-star rounds over tables in the shared
 folder.
 
@@ -39,7 +42,7 @@ CELL = 4096
 #: Members of a leaf and of an upper node.
 FAN = 8
 #: Pairs of nodes that a task holds at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 #: Words hashed at once.
 SLICE = 1 << 16
 
@@ -70,6 +73,63 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
 
 
+#: Near-duplicates: letters of a long word, differing bits of candidates, bits of a sketch.
+LONG, RADIUS, BINS = 6, 7, 512
+#: Similarity to accept by the sketch: its error is about 0.03, so that pairs of 0.8 pass.
+SIMILAR = 0.77
+_PROBES = np.random.default_rng(512).integers(0, BINS, (BINS, 64))
+
+
+def word_fingerprint(text: bytes, least: int = LONG, seed: int = 42) -> int:
+    """SimHash of a text's distinct words of `least` bytes or more; of all, if it has none."""
+    words = set(text.lower().split())
+    own = [w for w in words if len(w) >= least] or list(words)
+    if not own:
+        return 0
+    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), own), "<u8", len(own))
+    ones = sum(np.unpackbits(h[k : k + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for k in range(0, len(h), SLICE))
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+
+
+def sketch(text: bytes, size: int = 5, seed: int = 42) -> bytes:
+    """One bit of the smallest shingle hash in each of BINS bins; an empty bin borrows
+    from the first full one of its own sequence. Bits of two texts differ in about
+    (1 - similarity) / 2 of the bins."""
+    words = text.lower().split()
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) > size else [b" ".join(words)]
+    h = np.sort(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), "<u8"))
+    at, first = np.unique(h >> np.uint64(55), return_index=True)
+    least = np.zeros(BINS, np.uint64)
+    full = np.zeros(BINS, bool)
+    least[at.astype(int)], full[at.astype(int)] = h[first], True
+    source = np.arange(BINS)
+    for k in range(_PROBES.shape[1]):
+        empty = np.flatnonzero(~full[source])
+        if not len(empty):
+            break
+        source[empty] = _PROBES[empty, k]
+    source = np.where(full[source], source, int(at[0]))
+    mixed = (least[source] ^ (np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.packbits((mixed >> np.uint64(63)).astype(np.uint8), bitorder="little").tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Of two texts' shingles, by their sketches."""
+    x, y = (np.frombuffer(s, "<u8") for s in (a, b))
+    return 1 - 2 * int(np.bitwise_count(x ^ y).sum()) / BINS
+
+
+def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, sketch for every row."""
+
+    def run(batches):
+        for b in batches:
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(word_fingerprint, texts), pa.int64()), pa.array(map(sketch, texts), pa.binary())], ["doc_id", "fp", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long, sketch binary")
+
+
 def _blocks(free: list[int], parts: int) -> list[int]:
     """Masks of nearly equal blocks of the given bits."""
     cuts = [round(len(free) * k / parts) for k in range(parts + 1)]
@@ -160,29 +220,43 @@ def forest(n: int, links) -> np.ndarray:
     return label
 
 
-def _cell_edges(batches, most: int):
+def _cell_edges(batches, most: int, similar: float):
     """Spanning edges of each cell's links; cells arrive whole, one after another."""
     rest: list = []
 
-    def edges(mask, key, fp, rep):
+    def alike(links, bits):
+        for a, b in links:
+            far = sum(np.bitwise_count(bits[a, k] ^ bits[b, k]).astype(np.int64) for k in range(bits.shape[1]))
+            ok = 1 - 2 * far / BINS >= similar
+            yield a[ok], b[ok]
+
+    def edges(mask, key, fp, rep, *sketches):
         cell = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
-        u = fp.view(np.uint64)
+        u = np.ascontiguousarray(fp).view(np.uint64)
         order = np.lexsort((_gray_rank(u), cell))
-        label = forest(len(order), GrayIndex(cell[order], u[order]).links(most))
+        links = GrayIndex(cell[order], u[order]).links(most)
+        if sketches:
+            links = alike(links, np.frombuffer(b"".join(sketches[0][order]), "<u8").reshape(len(order), -1))
+        label = forest(len(order), links)
         own = rep[order]
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[label[moved]])], ["a", "b"])
 
     for b in batches:
+        if not b.num_rows:
+            continue
         rest.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        last = rest[-1][0][-1], rest[-1][1][-1]
+        ends = np.flatnonzero((rest[-1][0] != last[0]) | (rest[-1][1] != last[1]))
+        if len(rest) > 1 and not len(ends) and (rest[0][0][0], rest[0][1][0]) == last:
+            continue  # the whole batch goes on with the same cell
         cols = [np.concatenate(c) for c in zip(*rest, strict=True)]
-        if not len(cols[0]):
-            continue
-        whole = int(np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))[-1:].sum() + 1) if ((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1])).any() else 0
+        other = np.flatnonzero((cols[0] != last[0]) | (cols[1] != last[1]))
+        whole = int(other[-1]) + 1 if len(other) else 0
         rest = [[c[whole:] for c in cols]]
         if whole:
             yield edges(*(c[:whole] for c in cols))
-    if rest and len(rest[0][0]):
+    if rest:
         yield edges(*(np.concatenate(c) for c in zip(*rest, strict=True)))
 
 
@@ -221,31 +295,41 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataF
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def link(spark: SparkSession, fps: DataFrame, most: int = 3, cell: int = CELL) -> DataFrame:
-    """doc_id, fp, component_id from a table of doc_id and fp."""
+def link(spark: SparkSession, fps: DataFrame, most: int = 3, cell: int = CELL, similar: float = SIMILAR) -> DataFrame:
+    """fps and component_id, from a table of doc_id, fp and, for links that must also
+    be similar, sketch."""
     scratch = Scratch(spark)
-    nodes = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    own = ["fp", "sketch"] if "sketch" in fps.columns else ["fp"]
+    nodes = scratch.write(fps.groupBy(own).agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"), "nodes")
     deal = lambda df, masks: df.withColumn("mask", F.explode(masks)).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    shown = ["mask", "key", "fp", "rep", *own[1:]]
     level = masks_below(0, most)
-    dealt = deal(nodes, F.array(*[F.lit(_signed(m)).cast("long") for m in level]))
-    below = [m for m in level if 64 - m.bit_count() > cell.bit_length() - 1]
+    dealt = deal(nodes, F.array(*[F.lit(_signed(m)).cast("long") for m in level])).select(shown)
+    deeper = lambda masks: [m for m in masks if 64 - m.bit_count() > cell.bit_length() - 1]
+    below, k = deeper(level), 0
     while below:  # cells with too many go on by blocks of their free bits
-        full = scratch.write(dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).filter((F.col("n") > cell) & F.col("mask").isin([_signed(m) for m in below])).select("mask", "key"), f"full{below[0]}")
-        n = full.count()
+        full = dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).filter((F.col("n") > cell) & F.col("mask").isin([_signed(m) for m in below])).select("mask", "key")
+        full = scratch.write(full, f"full{k}")
+        n, k = full.count(), k + 1
         if not n:
             break
         few = (lambda x: F.broadcast(x)) if n <= 200_000 else (lambda x: x)
         step = {m: masks_below(m, most) for m in below}
         table = spark.createDataFrame([(_signed(m), [_signed(x) for x in s]) for m, s in step.items()], "mask long, deeper array<long>")
-        on = ["mask", "key"]
-        again = deal(dealt.join(few(full), on, "left_semi").join(F.broadcast(table), "mask").drop("mask", "key"), F.col("deeper")).drop("deeper")
-        dealt = dealt.join(few(full), on, "left_anti").select("fp", "rep", "mask", "key").unionByName(again.select("fp", "rep", "mask", "key"))
-        below = [x for s in step.values() for x in s if 64 - x.bit_count() > cell.bit_length() - 1]
-    parts = dealt.select("mask", "key", "fp", "rep").repartition("mask", "key").sortWithinPartitions("mask", "key")
-    edges = parts.mapInArrow(partial(_cell_edges, most=most), "a long, b long")
+        again = deal(dealt.join(few(full), ["mask", "key"], "left_semi").join(F.broadcast(table), "mask").drop("mask", "key"), F.col("deeper"))
+        dealt = dealt.join(few(full), ["mask", "key"], "left_anti").select(shown).unionByName(again.select(shown))
+        below = deeper({x for s in step.values() for x in s})
+    parts = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
+    edges = parts.mapInArrow(partial(_cell_edges, most=most, similar=similar), "a long, b long")
     labels = components(spark, scratch, edges)
-    named = scratch.write(nodes.join(labels, nodes["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = scratch.write(nodes.join(labels, nodes["rep"] == labels["node"], "left").select(*own, F.coalesce("label", "rep").alias("component_id")), "named")
+    return fps.join(named, own)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: texts linked at a five-word shingle similarity of 0.8 or more."""
+    table = Scratch(spark).write(prints(docs, id_col, text_col), "prints")
+    return link(spark, table, RADIUS).select("doc_id", "component_id")
 
 
 def hex16(fp):
@@ -255,4 +339,4 @@ def hex16(fp):
 def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fps = Scratch(spark).write(fingerprints(docs), "fps")
-    return link(spark, fps).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return link(spark, fps, 3).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
