@@ -10,7 +10,7 @@ Two nodes descend together, adding up the differences in the bits that both fix;
 pairs of nodes that differ in more than `most` bits are left with all below them.
 Near-duplicates at a shingle similarity (near_duplicates()) take the same way with
 two prints of a text: the SimHash of its long words finds candidates in a wider
-radius, and a 512-bit sketch of its five-word shingles, carried with it, tells the
+radius, and a sketch of 512 minima of its five-word shingles, carried with it, tells the
 similarity of each candidate pair. A cell gives a spanning forest of its links, never all pairs; the forests' edges
 meet in alternating large-star and small-star rounds over tables in the shared
 folder.
@@ -43,6 +43,8 @@ CELL = 4096
 FAN = 8
 #: Pairs of nodes that a task holds at once.
 AT_ONCE = 1 << 19
+#: Pairs whose sketches are compared at once.
+TESTED = 1 << 15
 #: Words hashed at once.
 SLICE = 1 << 16
 
@@ -73,10 +75,10 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
 
 
-#: Near-duplicates: letters of a long word, differing bits of candidates, bits of a sketch.
-LONG, RADIUS, BINS = 6, 7, 512
-#: Similarity to accept by the sketch: its error is about 0.03, so that pairs of 0.8 pass.
-SIMILAR = 0.77
+#: Near-duplicates: letters of a long word, differing bits of candidates, bins of a sketch.
+LONG, RADIUS, BINS = 6, 8, 512
+#: Similarity to accept by the sketch: its error is about 0.02, so that pairs of 0.8 pass.
+SIMILAR = 0.78
 _PROBES = np.random.default_rng(512).integers(0, BINS, (BINS, 64))
 
 
@@ -92,9 +94,9 @@ def word_fingerprint(text: bytes, least: int = LONG, seed: int = 42) -> int:
 
 
 def sketch(text: bytes, size: int = 5, seed: int = 42) -> bytes:
-    """One bit of the smallest shingle hash in each of BINS bins; an empty bin borrows
-    from the first full one of its own sequence. Bits of two texts differ in about
-    (1 - similarity) / 2 of the bins."""
+    """Four bits of the smallest shingle hash in each of BINS bins; an empty bin borrows
+    from the first full one of its own sequence. Two texts agree in about as many bins
+    as their similarity says, and in one in 16 of the others."""
     words = text.lower().split()
     shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) > size else [b" ".join(words)]
     h = np.sort(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), "<u8"))
@@ -110,13 +112,24 @@ def sketch(text: bytes, size: int = 5, seed: int = 42) -> bytes:
         source[empty] = _PROBES[empty, k]
     source = np.where(full[source], source, int(at[0]))
     mixed = (least[source] ^ (np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.packbits((mixed >> np.uint64(63)).astype(np.uint8), bitorder="little").tobytes()
+    four = (mixed >> np.uint64(60)).astype(np.uint8)
+    return (four[::2] | four[1::2] << np.uint8(4)).tobytes()
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches, as rows of 64-bit words."""
+    far = np.zeros(len(x), np.int64)
+    for k in range(x.shape[1]):
+        d = x[:, k] ^ y[:, k]
+        d |= d >> np.uint64(2)
+        d |= d >> np.uint64(1)
+        far += np.bitwise_count(d & np.uint64(0x1111111111111111))
+    return 1 - far / BINS * 16 / 15
 
 
 def similarity(a: bytes, b: bytes) -> float:
     """Of two texts' shingles, by their sketches."""
-    x, y = (np.frombuffer(s, "<u8") for s in (a, b))
-    return 1 - 2 * int(np.bitwise_count(x ^ y).sum()) / BINS
+    return float(_similar(*(np.frombuffer(s, "<u8")[None] for s in (a, b)))[0])
 
 
 def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,10 +218,16 @@ class GrayIndex:
             todo.append((k - 1, x[near], y[near], d[near], both[near]))
 
 
-def forest(n: int, links) -> np.ndarray:
-    """The smallest position that each of n positions reaches over the links."""
+def forest(n: int, links, alike=None) -> np.ndarray:
+    """The smallest position that each of n positions reaches over the links that are
+    alike; links within what has grown together already are passed over."""
     label = np.arange(n)
     for a, b in links:
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if alike and len(a):
+            ok = np.concatenate([alike(a[k : k + TESTED], b[k : k + TESTED]) for k in range(0, len(a), TESTED)])
+            a, b = a[ok], b[ok]
         while len(a):
             x, y = label[a], label[b]
             if (x == y).all():
@@ -224,20 +243,15 @@ def _cell_edges(batches, most: int, similar: float):
     """Spanning edges of each cell's links; cells arrive whole, one after another."""
     rest: list = []
 
-    def alike(links, bits):
-        for a, b in links:
-            far = sum(np.bitwise_count(bits[a, k] ^ bits[b, k]).astype(np.int64) for k in range(bits.shape[1]))
-            ok = 1 - 2 * far / BINS >= similar
-            yield a[ok], b[ok]
-
     def edges(mask, key, fp, rep, *sketches):
         cell = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
         u = np.ascontiguousarray(fp).view(np.uint64)
         order = np.lexsort((_gray_rank(u), cell))
-        links = GrayIndex(cell[order], u[order]).links(most)
+        alike = None
         if sketches:
-            links = alike(links, np.frombuffer(b"".join(sketches[0][order]), "<u8").reshape(len(order), -1))
-        label = forest(len(order), links)
+            bits = np.frombuffer(b"".join(sketches[0][order]), "<u8").reshape(len(order), -1)
+            alike = lambda a, b: _similar(bits[a], bits[b]) >= similar
+        label = forest(len(order), GrayIndex(cell[order], u[order]).links(most), alike)
         own = rep[order]
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[label[moved]])], ["a", "b"])
