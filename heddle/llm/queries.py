@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup_stream, hmm_lm, langid_zstd, packing, pii_feistel, piece_bpe, quality_kn, sharding, simhash_gray
+from . import dedup_stream, hmm_lm, langid_zstd, nn_descent, packing, pii_feistel, piece_bpe, quality_kn, sharding, simhash_gray
 from .common import arrow_limits, ship
 
 
@@ -22,6 +22,7 @@ _ALL = [
     hmm_lm.op2_hidden_markov,
     dedup_stream.op3_streaming_dedup,
     langid_zstd.op4_compression_langid,
+    nn_descent.op5_nn_descent,
     simhash_gray.op6_simhash_gray,
     sharding.op7_sampled_splitters,
     packing.op8_pattern_packing,
