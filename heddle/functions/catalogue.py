@@ -21,14 +21,10 @@ def comparable(a: str, b: str) -> bool:
     return _KINDS[a] == _KINDS[b]
 
 
-_QUOTED = re.compile(r"('(?:[^']|'')*')")
+_PARTS = re.compile(r"(?P<text>'(?:[^']|'')*'|\"[^\"]*\")|(?P<note>--[^\n]*|/\*.*?\*/)|(?P<unequal>\^=)|(?P<distinct>\bCOUNT_DISTINCT\s*\(\s*)", re.I | re.S)
+_SPELT = {"note": " ", "unequal": "<>", "distinct": "COUNT(DISTINCT "}
 
 
 def normalise(query: str) -> str:
-    """A query in Spark's spelling: ^= as <>, COUNT_DISTINCT(x), REGEXP_LIKE(a, b); quoted text stays."""
-    parts = _QUOTED.split(query)
-    for k in range(0, len(parts), 2):
-        p = re.sub(r"/\*.*?\*/|--[^\n]*", " ", parts[k], flags=re.S)
-        p = p.replace("^=", "<>")
-        parts[k] = re.sub(r"\bCOUNT_DISTINCT\s*\(\s*", "COUNT(DISTINCT ", p, flags=re.I)
-    return "".join(parts).strip().rstrip(";")
+    """A query in Spark's spelling: ^= as <>, COUNT_DISTINCT(x); no comments; quoted text stays."""
+    return _PARTS.sub(lambda m: _SPELT.get(m.lastgroup, m[0]), query).strip().rstrip(";").strip()
