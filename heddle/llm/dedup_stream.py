@@ -11,7 +11,7 @@ digest are grouped again by their bytes.
 Contract: texts are equal when identical after each run of space and 0x09-0x0D is
 one space. The row with the smallest id stays.
 
-* null text counts as empty; empty texts form one group like any other.
+* a null id is the smallest; null text counts as empty; empty texts form one group like any other.
 * very long texts: only groups of two or more move texts, whole.
 * ties: rows that repeat an id and text join one group; each row is returned.
 * empty table: empty result. Other columns are ignored, whatever their names.
@@ -26,6 +26,8 @@ from .common import Scratch
 
 #: Members of a group that meet one copy of its representative.
 MEMBERS_A_COPY = 256
+#: Digests in a state partition, whose files cost some MB each; partitions at least.
+STATE_ROWS, STATE_PARTS = 1_000_000, 16
 #: Groups whose 8-byte keys may be sent to every executor; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 
@@ -38,9 +40,10 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def _streamed(spark: SparkSession, scratch: Scratch) -> DataFrame:
+def _streamed(spark: SparkSession, scratch: Scratch, rows: int) -> DataFrame:
     """digest, keep_id, locator, n from the log, through the state store."""
     keep = {
+        "spark.sql.streaming.internal.stateStore.partitions": str(max(STATE_PARTS, rows // STATE_ROWS)),
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
@@ -55,7 +58,7 @@ def _streamed(spark: SparkSession, scratch: Scratch) -> DataFrame:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(scratch.path(f"state/of={number}"))
 
     try:
-        log = spark.readStream.schema("digest binary, doc_id long, locator long").parquet(scratch.path("log"))
+        log = spark.readStream.schema("doc_id long, digest binary, locator long").parquet(scratch.path("log"))
         state = log.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count("*").alias("n"))
         query = state.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", scratch.path("stream")).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -68,20 +71,23 @@ def _streamed(spark: SparkSession, scratch: Scratch) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs, and
+    row_hash, a hash of the text as it was, which tells rows of one id apart.
 
     digest: the state's key, a function of the normalised text that gives hex
     digits; the groups are right for any digest, since hits compare bytes.
     """
     scratch = Scratch(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("t"))
-    log = rows.select("doc_id", F.unhex(sha256(F.col("t"))).alias("sha"), F.unhex(digest(F.col("t"))).alias("digest"))
+    row = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row_hash")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("t"), row)
+    log = rows.select("doc_id", F.unhex(sha256(F.col("t"))).alias("sha"), F.unhex(digest(F.col("t"))).alias("digest"), "row_hash")
     # the locator is the row's number in the log, so it names one row even where ids repeat
     log = scratch.write(log.withColumn("locator", F.monotonically_increasing_id()), "log")
-    shown = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256")]
-    if log.isEmpty():
+    shown = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"), "row_hash"]
+    n_rows = log.count()
+    if not n_rows:
         return log.select("*", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept")).select(*shown)
-    state = scratch.write(_streamed(spark, scratch), "groups")
+    state = scratch.write(_streamed(spark, scratch, n_rows), "groups")
     found = log.join(state.withColumnRenamed("locator", "keep_locator"), "digest").withColumn("kept", F.col("locator") == F.col("keep_locator"))
     hits = state.filter("n > 1")
     n_hits = hits.count()
@@ -95,7 +101,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     copies = F.ceil(F.col("n") / MEMBERS_A_COPY)
     members = keyed.join(hits.select("digest", "keep_id", "n"), "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), copies))
     members = scratch.write(members.select("digest", "doc_id", "keep_id", "t", "n", "salt"), "members")
-    first = members.filter(F.col("doc_id") == F.col("keep_id")).groupBy("digest").agg(F.min("t").alias("first_t"), F.max("n").alias("m"))
+    first = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("t").alias("first_t"), F.max("n").alias("m"))
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / MEMBERS_A_COPY) - 1))).drop("m")
     bad = members.join(first, ["digest", "salt"]).filter(F.col("t") != F.col("first_t")).select("digest").distinct()
     bad = scratch.write(bad, "bad")
@@ -111,7 +117,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
 
 def op3_streaming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row_hash")
 
 
 OP3_SQL = r"""
