@@ -12,7 +12,7 @@ side. A group of equal texts on a cut stays whole while it is at most
 
 * null text: size 1, crc32 of no bytes; empty text likewise; very long texts are
   measured, never carried through a shuffle.
-* ties: equal texts are ordered by id; rows repeated with the same id and text
+* ties: equal texts are ordered by id, a null id first; rows repeated with the same id and text
   stay separate rows, told apart by a row number.
 * empty table: an empty result. Other columns of the input, whatever their
   names, are ignored.
@@ -42,12 +42,12 @@ def _unit(*cols: Column) -> Column:
 def _split(rows: DataFrame, total: float, pieces: int) -> list[tuple[int, int]]:
     """Quantile boundaries of the key from a size-weighted sample of expected size pieces * PER_RANGE."""
     take = F.col("weight") * F.lit(pieces * PER_RANGE / max(total, 1.0))
-    seen = rows.filter(_unit("h", "doc_id") < take).select("h", "doc_id", F.greatest(F.lit(1.0), take).alias("n")).collect()
-    seen.sort(key=lambda r: (r.h, r.doc_id))
+    seen = rows.filter(_unit("h", "k") < take).select("h", "k", F.greatest(F.lit(1.0), take).alias("n")).collect()
+    seen.sort(key=lambda r: (r.h, r.k))
     cuts, gone = [], 0.0
     for r in seen:
         if int((gone + r.n) / PER_RANGE) > int(gone / PER_RANGE):
-            cuts.append((r.h, r.doc_id))
+            cuts.append((r.h, r.k))
         gone += r.n
     return sorted(set(cuts))
 
@@ -68,7 +68,7 @@ def _with_range(spark: SparkSession, rows: DataFrame, cuts: list[tuple[int, int]
             lo[k] += np.searchsorted(ci[lo[k] : hi[k]], y[k], "right")
         return pd.Series(lo)
 
-    return rows.withColumn("range", place("h", "doc_id"))
+    return rows.withColumn("range", place("h", "k"))
 
 
 def shard_by_bytes(spark: SparkSession, docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", group_share: float = 0.01) -> DataFrame:
@@ -80,6 +80,7 @@ def shard_by_bytes(spark: SparkSession, docs: DataFrame, n_shards: int = 8, id_c
         (byte_length(text) + 1).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63)).alias("k"),  # a null id comes first
     )
     rows = scratch.write(rows, "rows")
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
@@ -99,7 +100,7 @@ def shard_by_bytes(spark: SparkSession, docs: DataFrame, n_shards: int = 8, id_c
             break
         cuts = sorted({*cuts, *more})
     # a task for each few ranges: rows get their place in the range, then the range its place on the line
-    line = Window.partitionBy("range").orderBy("h", "doc_id", "size", "text_crc32")
+    line = Window.partitionBy("range").orderBy("h", "k", "size", "text_crc32")
     placed = _with_range(spark, rows, cuts).select(
         "*",
         (F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("at"),

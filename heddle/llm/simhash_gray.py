@@ -20,7 +20,8 @@ of its component.
 
 * null and empty texts have fingerprint zero, linked like any other.
 * very long texts are hashed whole, in slices. Ties: a bit is set in over half.
-* repeated rows and equal fingerprints are one node; each row is returned.
+* repeated rows and equal fingerprints are one node; each row is returned; rows
+  without an id name no component, and one that only they have is null.
 * empty table: empty result. Other columns are ignored, whatever their names.
 """
 
@@ -337,7 +338,7 @@ def link(spark: SparkSession, fps: DataFrame, most: int = 3, cell: int = CELL, s
     edges = parts.mapInArrow(partial(_cell_edges, most=most, similar=similar), "a long, b long")
     labels = components(spark, scratch, edges)
     named = scratch.write(nodes.join(labels, nodes["rep"] == labels["node"], "left").select(*own, F.coalesce("label", "rep").alias("component_id")), "named")
-    return fps.join(named, own)
+    return fps.join(named, own, "left")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
