@@ -11,7 +11,7 @@ change. Lists start from blocks of rows that a random projection puts side by si
 
 A query walks the graph from its own node: it asks its best nodes not yet asked for
 their neighbours, has those not yet seen scored on the vectors as given, in double
-precision, and stops when its best TOP have all been asked.
+precision, and stops when its best WIDTH have all been asked.
 
 Contract: query_id, rank, vec_id, score; a query's nearest by inner product, ties to
 the smaller id. Recall against brute force is measured in the tests.
@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-NEAR, REVERSE, ROUNDS = 44, 26, 7
+NEAR, REVERSE, ROUNDS = 48, 28, 7
 #: Offers that a comparison makes to each node; lists that still change, as a share, to end.
 OFFERS, SETTLED = 6, 0.02
 #: Nodes in a block; rows that a projection compares; projections.
 NODES, SIDE, PROJECTIONS = 2000, 256, 2
-#: Results, nodes asked in a step, steps at most, scored nodes kept.
-TOP, ASKED, STEPS, KEPT = 20, 12, 8, 60
+#: Results, best nodes that are all asked in the end, those asked in a step, steps at most, scored nodes kept.
+TOP, WIDTH, ASKED, STEPS, KEPT = 20, 48, 16, 10, 80
 MESSAGE = "block long, body binary"
 
 
@@ -278,8 +278,8 @@ def _frontier(blocks: int, batches):
             own, _, _, found, score, asked = pickle.loads(body.as_py())
             q, node = [], []
             for i in range(len(own)):
-                top = np.flatnonzero(~asked[i][: 2 * TOP])[:ASKED]
-                if len(asked[i]) and not asked[i][: TOP + 1].all():
+                top = np.flatnonzero(~asked[i][:WIDTH])[:ASKED]
+                if len(asked[i]) and not asked[i][:WIDTH].all():
                     q.append(np.full(len(top), own[i]))
                     node.append(found[i][top])
             if q:
@@ -343,8 +343,8 @@ def _moved(left: pa.Table, right: pa.Table) -> pa.Table:
     """Queries with what was scored for them; those asked for are marked as asked."""
     own, x, seen, found, score, asked = _got(left)[0]
     for i in range(len(own)):  # the same choice that _frontier made
-        if len(asked[i]) and not asked[i][: TOP + 1].all():
-            asked[i][np.flatnonzero(~asked[i][: 2 * TOP])[:ASKED]] = True
+        if len(asked[i]) and not asked[i][:WIDTH].all():
+            asked[i][np.flatnonzero(~asked[i][:WIDTH])[:ASKED]] = True
     if right.num_rows:
         q, to, s = _joined(_got(right))
         order = np.argsort(q, kind="stable")
@@ -355,7 +355,7 @@ def _moved(left: pa.Table, right: pa.Table) -> pa.Table:
             f, v, a = np.concatenate([found[i], to[lo:hi]]), np.concatenate([score[i], s[lo:hi]]), np.concatenate([asked[i], np.zeros(hi - lo, bool)])
             best = np.lexsort((f, -v))[:KEPT]
             found[i], score[i], asked[i] = f[best], v[best], a[best]
-    still = sum(not a[: TOP + 1].all() for a in asked)
+    still = sum(not a[:WIDTH].all() for a in asked)
     return pa.table({"block": left["block"], "body": pa.array([pickle.dumps((own, x, seen, found, score, asked), 5)], pa.binary()), "open": pa.array([still], pa.int64())})
 
 
