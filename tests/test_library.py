@@ -176,3 +176,19 @@ def test_sources(spark, tmp_path):
     assert tables.append(df, df).count() == 100
     assert [tuple(r) for r in tables.column_stats(df, ["a"]).collect()] == [("a", 50, 7, "0", "6")]
     assert tuple(tables.join_key_stats(df, df, "a").first()) == (7, 50)
+
+
+def test_shell(spark, tmp_path):
+    import io
+
+    from heddle.__main__ import Shell
+
+    (tmp_path / "x.schema").write_text("T|A:INTEGER|B:TEXT:9|")
+    (tmp_path / "t.tbl").write_text("1|x|\n2|y|\n")
+    out = io.StringIO()
+    shell = Shell(Engine(spark), stdout=out)
+    for line in (f"create {tmp_path}/x.schema", f"load T {tmp_path}/t.tbl", "list", "execute SELECT b, a + 1 AS c FROM t ORDER BY a", "execute SELECT nothing FROM t", f"save {tmp_path}/s", "delete T", "list", f"restore {tmp_path}/s"):
+        assert not shell.onecmd(line)
+    assert shell.onecmd("exit")
+    said = out.getvalue().splitlines()
+    assert said[:5] == ["T", "T", "b|c", "x|2", "y|3"] and said[5].startswith("AnalysisException") and said[6:] == ["", "T"]
