@@ -39,8 +39,10 @@ from .common import Scratch
 #: Chunks of text that a worker remembers; all are forgotten once there are more.
 CACHED = 600_000
 #: Pieces of one length that one task ranks.
-RANKED = 500
+RANKED = 128
 NNLS_STEPS = 300
+#: Patterns that a plan repeats, those with the largest counts; best fit packs what is left.
+MOST_PATTERNS = 8192
 #: Fixed value: the tokenizer file's own pattern for words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
@@ -240,7 +242,7 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     if len(rows[0]):
         x = nnls(rows, left.astype(float))
         most = np.flatnonzero(x >= 0.5)
-        for p in most[np.argsort(-x[most], kind="stable")]:
+        for p in most[np.argsort(-x[most], kind="stable")][:MOST_PATTERNS]:
             what: dict[int, int] = {}
             for r in rows:
                 if r[p]:
