@@ -25,6 +25,7 @@ Contract: doc_id, lang, n_chars, perplexity, threshold, kept, held_back (calibra
 from __future__ import annotations
 
 import pickle
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +35,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trim
 
 ORDER, BITS = 5, 12
 START, END = 2, 3
 PACK_BYTES = 32 << 20
 #: Signs that one step of counting or scoring holds.
-STEP = 1 << 21
+STEP = 1 << 19
 PRIOR = 200
 QUANTILE = 0.997
 #: Each CALIBRATE-th trusted text is kept from training, for the thresholds.
 CALIBRATE = 5
 #: Trusted or rejected ids that may be sent to every executor (16 bytes each); more are joined by a shuffle.
-MOST_SENT = 2_000_000
+MOST_SENT = 1_000_000
+#: Languages whose thresholds may be sent likewise.
+MOST_LANGUAGES = 10_000
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +111,8 @@ def _grams(batches):
         for at in range(0, len(every), 1 << 16):
             g = every[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), pack)), pa.array(g), pa.array(n[at : at + (1 << 16)])], ["pack", "gram", "n"])
+        del every, seen, train, n
+        trim()
 
 
 def _payload(batches):
@@ -115,6 +120,8 @@ def _payload(batches):
     for pack, rows in _packs(batches):
         raw = z.compress(pickle.dumps(rows))
         yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([raw], pa.binary())], ["pack", "rows"])
+        del rows, raw
+        trim()
 
 
 def _row_hash(text: str) -> int:
@@ -146,6 +153,8 @@ def _score(left: pa.Table, right: pa.Table) -> pa.Table:
                 for col, v in zip(out, (r[0], r[1], r[2], n, s, _row_hash(r[3])), strict=True):
                     col.append(v)
             at += len(own)
+    rows = c = k = gram = value = order = None
+    trim()
     kinds = pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64()
     return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "lang", "role", "n_chars", "nll", "row_hash"])
 
@@ -195,6 +204,8 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, quanti
     """The contract's columns and row_hash, a hash of the text that tells rows of one id apart."""
     scratch = Scratch(spark)
     rows = marked(docs, labels)
+    if re.search(r"(?<!Broadcast)Exchange ", rows._jdf.queryExecution().executedPlan().toString()):
+        rows = scratch.write(rows, "rows")  # both scans must deal rows alike; files do, shuffles need not
     grams = scratch.write(rows.mapInArrow(_grams, "pack long, gram long, n long"), "grams")
     every = grams.groupBy("gram").agg(F.sum("n").alias("c"))
     every = scratch.write(every, "every")
@@ -211,13 +222,15 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, quanti
     if not trained or fold.isEmpty():
         none = F.lit(None).cast("double")
         return scored.select("doc_id", "lang", "n_chars", (F.exp(F.col("nll") / F.col("n_chars")) if trained else none).alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"), (F.col("role") == 2).alias("held_back"), "row_hash")
+    # one row a language: sent to every executor while they are few
+    few = F.broadcast if base.select("lang_key").distinct().count() <= MOST_LANGUAGES else lambda df: df
     middle = fold.groupBy("lang_key").agg(F.percentile_approx(F.col("nll") / F.col("n_chars"), 0.5, 10000).alias("middle"))
     whole = float(fold.agg(F.percentile_approx(F.col("nll") / F.col("n_chars"), 0.5, 10000)).first()[0])
-    drawn = lambda df: df.join(middle, "lang_key", "left").withColumn("drawn", (F.col("nll") + PRIOR * F.coalesce("middle", F.lit(whole))) / (F.col("n_chars") + PRIOR))
+    drawn = lambda df: df.join(few(middle), "lang_key", "left").withColumn("drawn", (F.col("nll") + PRIOR * F.coalesce("middle", F.lit(whole))) / (F.col("n_chars") + PRIOR))
     cuts = drawn(fold).groupBy("lang_key").agg(F.percentile_approx("drawn", quantile, 10000).alias("cut"))
     over = float(drawn(fold).agg(F.percentile_approx("drawn", quantile, 10000)).first()[0])
     cut = F.coalesce("cut", F.lit(over))
-    return drawn(base).join(cuts, "lang_key", "left").select(
+    return drawn(base).join(few(cuts), "lang_key", "left").select(
         "doc_id", "lang", "n_chars", F.exp("drawn").alias("perplexity"), F.exp(cut).alias("threshold"), (F.col("drawn") <= cut).alias("kept"), (F.col("role") == 2).alias("held_back"), "row_hash"
     )
 
