@@ -46,7 +46,8 @@ def _streamed(spark: SparkSession, scratch: Scratch, rows: int) -> DataFrame:
         "spark.sql.streaming.internal.stateStore.partitions": str(max(STATE_PARTS, rows // STATE_ROWS)),
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     }

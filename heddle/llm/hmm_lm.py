@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trim
 
 STATES, ROUNDS = 8, 2
 OWN, ENDS = 1 << 16, 1 << 12
@@ -92,8 +92,11 @@ def _packed(batches):
                 yield from out(number, ids, held, size, tokens)
                 number, ids, held, size, tokens, used = fresh()
                 k += 1
+                trim()
     if ids:
         yield from out(number, ids, held, size, tokens)
+        number, ids, held, size, tokens, used = fresh()
+    trim()
 
 
 def _encoded(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -105,7 +108,10 @@ def _encoded(left: pa.Table, right: pa.Table) -> pa.Table:
     packs = [zstandard.ZstdDecompressor().decompress(x) for x in left["blob"].to_pylist()]
     z = zstandard.ZstdCompressor(level=3)
     rows = [z.compress(pickle.dumps((*pickle.loads(p), table[0], table[1].astype(np.int32), table[2].astype(np.int32)))) for p in packs]
-    return pa.table({"pack": left["pack"], "blob": pa.array(rows, pa.binary())})
+    found = pa.table({"pack": left["pack"], "blob": pa.array(rows, pa.binary())})
+    del packs, rows, table, local
+    trim()
+    return found
 
 
 class Model:
@@ -235,6 +241,7 @@ def _baum_welch(shared, batches):
                 first, size = np.repeat(first, cut) + nth * PART, np.minimum(PART, np.repeat(size, cut) - nth * PART)
             for g in _groups(size):
                 ll += expected(model, k, first[g], size[g], counts, moves, starts)
+    trim()
     at = np.flatnonzero(counts.any(1))
     key = np.concatenate([at, -1 - np.arange(STATES), [-STATES - 1, -STATES - 2]])
     rows = np.concatenate([counts[at], moves * model.move, starts[None], np.full((1, STATES), ll)])

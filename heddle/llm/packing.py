@@ -37,7 +37,7 @@ from tokenizers import Tokenizer
 from .common import Scratch
 
 #: Chunks of text that a worker remembers; all are forgotten once there are more.
-CACHED = 600_000
+CACHED = 400_000
 #: Pieces of one length that one task ranks.
 RANKED = 128
 NNLS_STEPS = 300

@@ -43,7 +43,7 @@ CELL = 4096
 #: Members of a leaf and of an upper node.
 FAN = 8
 #: Pairs of nodes that a task holds at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
 #: Pairs whose sketches are compared at once.
 TESTED = 1 << 15
 #: Words hashed at once.
