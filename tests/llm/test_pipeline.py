@@ -42,8 +42,9 @@ def test_stages(spark, folder, tmp_path):
         if name != "pack":
             assert docs.columns == before.columns
     ids = {k: [sorted(r.doc_id for r in x) for x in v] for k, v in seen.items() if k != "pack"}
-    # junk goes, nearly all prose stays
-    assert not [i for i in ids["quality"][1] if 500 <= i < 520] and len(ids["quality"][1]) >= len(rows) - 20 - 12
+    # junk goes, prose stays; thirty calibration texts set the threshold, so some of it is above
+    assert not [i for i in ids["quality"][1] if 500 <= i < 520]
+    assert len([i for i in ids["quality"][1] if i < 160]) >= 120
     # equal texts: the smallest id of each group
     want = sorted({keep for keep, _ in brute.exact_groups([(r.doc_id, r.text) for r in seen["exact_dedup"][0]]).values()})
     assert ids["exact_dedup"][1] == want
