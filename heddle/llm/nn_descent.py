@@ -2,16 +2,17 @@
 
 Distinct vectors are nodes, dealt by a hash of their id into blocks; a block is one
 row that holds its nodes' vectors (as given, and in 8 bits for building) and lists
-of NEAR neighbours. Every round is three joins by block. A node's request to each
+of neighbours. Every round is three joins by block. A node's request to each
 neighbour carries its own vector, and so tells the neighbour of a reverse link; the
 reply brings the neighbour's vector. A node then compares its neighbours and a
-sample of REVERSE reverse neighbours with each other, if one of a pair is new, and
+sample of reverse neighbours with each other, if one of a pair is new, and
 offers each the others that beat the last on its list. Rounds end when few lists
-change. Lists start from blocks of rows that a random projection puts side by side.
+change, however many it takes. Lists start from blocks of rows that random projections
+put side by side. Lists, samples, offers and projections grow with the number of nodes.
 
 A query walks the graph from its own node: it asks its best nodes not yet asked for
 their neighbours, has those not yet seen scored on the vectors as given, in double
-precision, and stops when its best WIDTH have all been asked.
+precision, and stops when its best nodes, as many as a list holds, have all been asked.
 
 Contract: query_id, rank, vec_id, score; a query's nearest by inner product, ties to
 the smaller id. Recall against brute force is measured in the tests.
@@ -25,7 +26,10 @@ the smaller id. Recall against brute force is measured in the tests.
 
 from __future__ import annotations
 
+import math
 import pickle
+from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +38,31 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-NEAR, REVERSE, ROUNDS = 48, 28, 7
-#: Offers that a comparison makes to each node; lists that still change, as a share, to end.
-OFFERS, SETTLED = 6, 0.02
-#: Nodes in a block; rows that a projection compares; projections.
-NODES, SIDE, PROJECTIONS = 2000, 256, 2
-#: Results, best nodes that are all asked in the end, those asked in a step, steps at most, scored nodes kept.
-TOP, WIDTH, ASKED, STEPS, KEPT = 20, 48, 16, 10, 80
+#: Lists that still change, as a share, to end.
+SETTLED = 0.02
+#: Nodes in a block with lists of LEAST; rows that a projection compares.
+NODES, SIDE = 2000, 256
+#: Results, nodes asked in a step, scored nodes kept beyond the width.
+TOP, ASKED, SPARE = 20, 16, 32
+#: Length of the lists up to BASE nodes, and what each doubling beyond adds to it.
+LEAST, BASE, MORE = 48, 10_000, 8
+
+
+class Effort(NamedTuple):
+    """What building and searching spend on each node."""
+
+    near: int  #: neighbours in a list, and best nodes that are all asked in the end
+    reverse: int  #: reverse neighbours in a comparison
+    offers: int  #: offers that a comparison makes to each node
+    projections: int
+
+    @classmethod
+    def of(cls, nodes: int) -> Effort:
+        doublings = max(0.0, math.log2(max(nodes, 1) / BASE))
+        near = LEAST + math.ceil(MORE * doublings)
+        return cls(near, near * 7 // 12, near // 8, 2 + math.ceil(doublings / 2))
+
+
 MESSAGE = "block long, body binary"
 
 
@@ -83,7 +105,7 @@ def _once(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 # A block's body: ids (rising), vectors, 8-bit vectors and scales, neighbours (-1: none), nearness, new.
-def _fresh(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _fresh(near: int, key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     ids = table["id"].to_numpy()
     vec = np.stack([np.asarray(v, np.float32) for v in table["vec"].to_numpy()])
     order = np.argsort(ids)
@@ -91,11 +113,11 @@ def _fresh(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     scale = (np.abs(vec).max(1) / 127).astype(np.float32)
     small = np.rint(vec / scale[:, None]).astype(np.int8)
     n = len(ids)
-    body = ids, vec, small, scale, np.full((n, NEAR), -1, np.int64), np.full((n, NEAR), -np.inf, np.float32), np.zeros((n, NEAR), bool)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([pickle.dumps(body, 5)], pa.binary()), "changed": pa.array([n * NEAR], pa.int64())})
+    body = ids, vec, small, scale, np.full((n, near), -1, np.int64), np.full((n, near), -np.inf, np.float32), np.zeros((n, near), bool)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([pickle.dumps(body, 5)], pa.binary()), "changed": pa.array([n * near], pa.int64())})
 
 
-def _beside(blocks: int, batches):
+def _beside(blocks: int, most: int, batches):
     """Offers among rows that stand side by side, in runs of SIDE."""
     rows = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if not rows:
@@ -109,7 +131,7 @@ def _beside(blocks: int, batches):
         x, own = vec[lo : lo + SIDE], ids[lo : lo + SIDE]
         near = x @ x.T
         np.fill_diagonal(near, -np.inf)
-        k = min(NEAR, len(own) - 1)
+        k = min(most, len(own) - 1)
         if k < 1:
             continue
         at = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -126,7 +148,7 @@ def _requests(blocks: int, batches):
             yield from _send(_block(near[i, k], blocks), ids[i], near[i, k], new[i, k], last[i], scale[i], small[i]).to_batches()
 
 
-def _replies(blocks: int, seed: int):
+def _replies(blocks: int, seed: int, reverse: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, _, small, scale, _, value, _ = _got(left)[0]
         if not right.num_rows:
@@ -135,14 +157,14 @@ def _replies(blocks: int, seed: int):
         at = np.searchsorted(ids, v)
         out = [(_block(u, blocks), u, v, new, value[at, -1], scale[at], small[at])]
         rng = np.random.default_rng([seed, int(ids[0]) & 0xFFFF])
-        some = _first_of(at, rng.random(len(at)), REVERSE)
+        some = _first_of(at, rng.random(len(at)), reverse)
         out.append((_block(v[some], blocks), v[some], u[some], new[some], last[some], their[some], vec[some]))
         return _send(*_joined(out))
 
     return run
 
 
-def _compared(blocks: int):
+def _compared(blocks: int, offers: int, most: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         centre, member, new, last, scale, vec = _joined(_got(table))
         one = _once(centre, member)  # a neighbour both ways counts once
@@ -161,7 +183,7 @@ def _compared(blocks: int):
             ok &= near > last[at][:, :, None]
             ok[:, np.arange(wide), np.arange(wide)] = False
             near = np.where(ok, near, -np.inf)
-            k = min(OFFERS, wide - 1)
+            k = min(offers, wide - 1)
             if k < 1:
                 continue
             best = np.argpartition(-near, k - 1, axis=2)[:, :, :k]
@@ -173,7 +195,7 @@ def _compared(blocks: int):
         a, b, s = _joined(out)
         one = _once(a, b)
         a, b, s = a[one], b[one], s[one]
-        top = _first_of(a, s, NEAR)
+        top = _first_of(a, s, most)
         return _send(_block(a[top], blocks), a[top], b[top], s[top])
 
     return run
@@ -192,7 +214,7 @@ def _merged(left: pa.Table, right: pa.Table) -> pa.Table:
         is_new = np.concatenate([np.zeros(len(i), bool), np.ones(len(a), bool)])
         one = _once(row, to)  # of a pair the one that was there comes first
         row, to, val, is_new = row[one], to[one], val[one], is_new[one]
-        top = _first_of(row, val, NEAR)
+        top = _first_of(row, val, near.shape[1])
         row, to, val, is_new = row[top], to[top], val[top], is_new[top]
         first = np.searchsorted(row, np.arange(len(ids)))
         nth = np.arange(len(row)) - first[row]
@@ -208,17 +230,17 @@ def _merged(left: pa.Table, right: pa.Table) -> pa.Table:
 GRAPH = MESSAGE + ", changed long"
 
 
-def build(spark: SparkSession, scratch: Scratch, nodes: DataFrame, blocks: int) -> DataFrame:
+def build(spark: SparkSession, scratch: Scratch, nodes: DataFrame, blocks: int, effort: Effort) -> DataFrame:
     """The graph's blocks, from a table of id and vec."""
-    dim = len(nodes.first().vec)
+    dim, n = len(nodes.first().vec), nodes.count()
 
     def with_block(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_block(b.column(0).to_numpy(), blocks)), *b.columns], ["block", "id", "vec"])
 
     dealt = nodes.mapInArrow(with_block, "block long, id long, vec array<float>")
-    graph = scratch.write(dealt.groupBy("block").applyInArrow(_fresh, GRAPH), "graph0", "uncompressed")
-    for p in range(PROJECTIONS):
+    graph = scratch.write(dealt.groupBy("block").applyInArrow(lambda key, table: _fresh(effort.near, key, table), GRAPH), "graph0", "uncompressed")
+    for p in range(effort.projections):
         way = np.random.default_rng(p).standard_normal(dim)
 
         def project(batches, way=way):
@@ -227,19 +249,19 @@ def build(spark: SparkSession, scratch: Scratch, nodes: DataFrame, blocks: int)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x @ way)], ["id", "vec", "p"])
 
         lined = nodes.mapInArrow(project, "id long, vec array<float>, p double").repartitionByRange(blocks, "p").sortWithinPartitions("p", "id").select("id", "vec")
-        offers = lined.mapInArrow(lambda b: _beside(blocks, b), MESSAGE)
+        offers = lined.mapInArrow(lambda b: _beside(blocks, effort.near, b), MESSAGE)
         graph = _next(scratch, graph, offers, f"start{p}", "graph0" if not p else f"start{p - 1}")
     # nothing has been compared through the graph yet
-    for k in range(ROUNDS):
+    for k in count():
         if k == 0:
             graph = scratch.write(graph.mapInArrow(_all_new, GRAPH), "round0", "uncompressed")
-            scratch.drop(f"start{PROJECTIONS - 1}")
+            scratch.drop(f"start{effort.projections - 1}")
         asked = graph.mapInArrow(lambda b: _requests(blocks, b), MESSAGE)
-        told = graph.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_replies(blocks, k), MESSAGE)
-        offers = told.groupBy("block").applyInArrow(_compared(blocks), MESSAGE)
+        told = graph.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_replies(blocks, k, effort.reverse), MESSAGE)
+        offers = told.groupBy("block").applyInArrow(_compared(blocks, effort.offers, effort.near), MESSAGE)
         graph = _next(scratch, graph, offers, f"round{k + 1}", f"round{k}")
-        changed, n = graph.agg(F.sum("changed"), F.count("*")).first()
-        if not n or changed <= SETTLED * NEAR * NODES * n:
+        changed = graph.agg(F.sum("changed")).first()[0] or 0
+        if changed <= SETTLED * effort.near * n:
             break
     return graph
 
@@ -272,14 +294,14 @@ def _starting(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"block": left["block"], "body": pa.array([pickle.dumps(body, 5)], pa.binary()), "open": pa.array([len(own)], pa.int64())})
 
 
-def _frontier(blocks: int, batches):
+def _frontier(blocks: int, width: int, batches):
     for b in batches:
         for body in b.column(b.schema.get_field_index("body")):
             own, _, _, found, score, asked = pickle.loads(body.as_py())
             q, node = [], []
             for i in range(len(own)):
-                top = np.flatnonzero(~asked[i][:WIDTH])[:ASKED]
-                if len(asked[i]) and not asked[i][:WIDTH].all():
+                top = np.flatnonzero(~asked[i][:width])[:ASKED]
+                if len(asked[i]) and not asked[i][:width].all():
                     q.append(np.full(len(top), own[i]))
                     node.append(found[i][top])
             if q:
@@ -339,12 +361,12 @@ def _scores(blocks: int):
     return run
 
 
-def _moved(left: pa.Table, right: pa.Table) -> pa.Table:
+def _moved(width: int, left: pa.Table, right: pa.Table) -> pa.Table:
     """Queries with what was scored for them; those asked for are marked as asked."""
     own, x, seen, found, score, asked = _got(left)[0]
     for i in range(len(own)):  # the same choice that _frontier made
-        if len(asked[i]) and not asked[i][:WIDTH].all():
-            asked[i][np.flatnonzero(~asked[i][:WIDTH])[:ASKED]] = True
+        if len(asked[i]) and not asked[i][:width].all():
+            asked[i][np.flatnonzero(~asked[i][:width])[:ASKED]] = True
     if right.num_rows:
         q, to, s = _joined(_got(right))
         order = np.argsort(q, kind="stable")
@@ -353,9 +375,9 @@ def _moved(left: pa.Table, right: pa.Table) -> pa.Table:
             lo, hi = np.searchsorted(q, own[i], "left"), np.searchsorted(q, own[i], "right")
             seen[i] = np.union1d(seen[i], to[lo:hi])
             f, v, a = np.concatenate([found[i], to[lo:hi]]), np.concatenate([score[i], s[lo:hi]]), np.concatenate([asked[i], np.zeros(hi - lo, bool)])
-            best = np.lexsort((f, -v))[:KEPT]
+            best = np.lexsort((f, -v))[: width + SPARE]
             found[i], score[i], asked[i] = f[best], v[best], a[best]
-    still = sum(not a[:WIDTH].all() for a in asked)
+    still = sum(not a[:width].all() for a in asked)
     return pa.table({"block": left["block"], "body": pa.array([pickle.dumps((own, x, seen, found, score, asked), 5)], pa.binary()), "open": pa.array([still], pa.int64())})
 
 
@@ -370,7 +392,7 @@ def _found(batches):
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate(found)), pa.array(np.concatenate(score))], ["query", "node", "score"])
 
 
-def search(spark: SparkSession, scratch: Scratch, graph: DataFrame, queries: DataFrame, blocks: int) -> DataFrame:
+def search(spark: SparkSession, scratch: Scratch, graph: DataFrame, queries: DataFrame, blocks: int, width: int) -> DataFrame:
     """query, node, score of the best nodes found, from a table of the queries' node ids."""
 
     def with_block(batches):
@@ -379,12 +401,12 @@ def search(spark: SparkSession, scratch: Scratch, graph: DataFrame, queries: Dat
 
     own = queries.mapInArrow(with_block, "block long, id long")
     state = scratch.write(graph.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_starting, STATE), "walk0", "uncompressed")
-    for k in range(STEPS):
-        asked = state.mapInArrow(lambda b: _frontier(blocks, b), MESSAGE)
+    for k in count():
+        asked = state.mapInArrow(lambda b: _frontier(blocks, width, b), MESSAGE)
         near = graph.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_neighbours(blocks), MESSAGE)
         new = state.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(_unseen(blocks), MESSAGE)
         scored = graph.groupBy("block").cogroup(new.groupBy("block")).applyInArrow(_scores(blocks), MESSAGE)
-        state = scratch.write(state.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(_moved, STATE), f"walk{k + 1}", "uncompressed")
+        state = scratch.write(state.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(lambda left, right: _moved(width, left, right), STATE), f"walk{k + 1}", "uncompressed")
         scratch.drop(f"walk{k}")
         if not state.agg(F.sum("open")).first()[0]:
             break
@@ -413,9 +435,10 @@ def nearest(spark: SparkSession, rows: DataFrame, is_query: Column, top: int = T
         nodes = clean.groupBy("vec").agg(F.min("id").alias("node"))
         copies = scratch.write(clean.join(nodes, "vec").select("node", "id", "asks", "vec"), "copies")
         nodes = copies.filter("node = id").select(F.col("node").alias("id"), "vec")
-        blocks = max(1, -(-nodes.count() // NODES))
-        graph = build(spark, scratch, nodes, blocks)
-        found = scratch.write(search(spark, scratch, graph, copies.filter("asks").select(F.col("node").alias("id")).distinct(), blocks), "found")
+        effort = Effort.of(n := nodes.count())
+        blocks = max(1, -(-n * effort.near // (NODES * LEAST)))
+        graph = build(spark, scratch, nodes, blocks, effort)
+        found = scratch.write(search(spark, scratch, graph, copies.filter("asks").select(F.col("node").alias("id")).distinct(), blocks, effort.near), "found")
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)

@@ -263,6 +263,20 @@ def test_nearest_recall(spark):
     assert len(got) == 150 and hit / (150 * 20) >= 0.9
 
 
+def test_nearest_effort_follows_the_nodes(spark, monkeypatch):
+    efforts = [nn_descent.Effort.of(n) for n in (0, 10_000, 51_280, 300_000, 10**8)]
+    assert efforts[0] == efforts[1] and all(all(x <= y for x, y in zip(a, b, strict=True)) and a.near < b.near for a, b in zip(efforts[1:], efforts[2:], strict=False))
+    # the lists settle, and are as long as the number of nodes asks for
+    monkeypatch.setattr(nn_descent, "BASE", 100)
+    seen, following = [], nn_descent._next
+    monkeypatch.setattr(nn_descent, "_next", lambda scratch, graph, offers, name, old: seen.append(following(scratch, graph, offers, name, old)) or seen[-1])
+    x = np.random.default_rng(10).standard_normal((400, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    nn_descent.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count()
+    assert nn_descent.Effort.of(400).near == 64
+    assert seen[-1].agg(F.sum("changed")).first()[0] <= nn_descent.SETTLED * 64 * 400
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
