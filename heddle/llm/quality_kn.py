@@ -10,14 +10,19 @@ the corpus is ever sent everywhere.
 
 A document's perplexity is drawn towards its language's median with the weight of
 PRIOR signs, so that a short text is judged on what it shows. A language's threshold
-is a quantile of its calibration fold's perplexities. Documents above it are rejected.
+is a quantile of its calibration fold's perplexities. A fold too small to hold that
+quantile is helped by the others: the threshold is then no less than the bound within
+which the next text falls with that probability (Student's t), by the fold's mean and a
+spread drawn towards that of all folds with the weight of LENT texts. Documents above
+it are rejected.
 
 Contract: doc_id, lang, n_chars, perplexity, threshold, kept, held_back (calibration fold) for every row.
 
 * null and empty texts: only the end sign is scored. Very long texts: scored whole.
 * a null language is a language of its own; one without calibration texts takes the
-  quantile over all of them. No trusted text at all: everything is kept, with null
-  perplexity and threshold.
+  quantile over all of them, widened likewise. No trusted text at all: everything is
+  kept, with null perplexity and threshold. Where no language has two calibration
+  texts nothing tells a spread, and everything is kept, with null threshold.
 * ties at the threshold are kept. Repeated rows are scored each; a repeated label
   counts once. Empty table: empty result. Other columns are ignored.
 """
@@ -26,13 +31,14 @@ from __future__ import annotations
 
 import pickle
 import re
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, trim
@@ -44,6 +50,8 @@ PACK_BYTES = 32 << 20
 STEP = 1 << 19
 PRIOR = 200
 QUANTILE = 0.997
+#: Texts that the spread over all languages counts for, in that of a language with a small fold.
+LENT = 10
 #: Each CALIBRATE-th trusted text is kept from training, for the thresholds.
 CALIBRATE = 5
 #: Trusted or rejected ids that may be sent to every executor (16 bytes each); more are joined by a shuffle.
@@ -200,6 +208,13 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").join(trusted, "doc_id", "left").select("doc_id", "lang", F.when(F.col("trusted"), fold).otherwise(0).alias("role"), "text")
 
 
+def _beyond(quantile: float, df: Column) -> Column:
+    """Student's t quantile, by its expansion about the normal one."""
+    z = NormalDist().inv_cdf(quantile)
+    terms = z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
+    return sum((F.lit(t) / F.pow(df, F.lit(k)) for k, t in enumerate(terms[1:], 1)), F.lit(terms[0]))
+
+
 def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The contract's columns and row_hash, a hash of the text that tells rows of one id apart."""
     scratch = Scratch(spark)
@@ -227,11 +242,25 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, quanti
     middle = fold.groupBy("lang_key").agg(F.percentile_approx(F.col("nll") / F.col("n_chars"), 0.5, 10000).alias("middle"))
     whole = float(fold.agg(F.percentile_approx(F.col("nll") / F.col("n_chars"), 0.5, 10000)).first()[0])
     drawn = lambda df: df.join(few(middle), "lang_key", "left").withColumn("drawn", (F.col("nll") + PRIOR * F.coalesce("middle", F.lit(whole))) / (F.col("n_chars") + PRIOR))
-    cuts = drawn(fold).groupBy("lang_key").agg(F.percentile_approx("drawn", quantile, 10000).alias("cut"))
-    over = float(drawn(fold).agg(F.percentile_approx("drawn", quantile, 10000)).first()[0])
-    cut = F.coalesce("cut", F.lit(over))
+    own = drawn(fold).groupBy("lang_key").agg(
+        F.percentile_approx("drawn", quantile, 10000).alias("own"), F.count("*").alias("n"), F.avg("drawn").alias("mean"), ((F.count("*") - 1) * F.coalesce(F.var_samp("drawn"), F.lit(0.0))).alias("within")
+    )
+    own = scratch.write(own, "folds")
+    # over all languages: the spread within them, and for those without a fold that of all texts
+    pool = own.agg(F.sum("within").alias("within"), F.sum(F.col("n") - 1).alias("df")).first()
+    every = drawn(fold).agg(F.percentile_approx("drawn", quantile, 10000).alias("own"), F.count("*").alias("n"), F.avg("drawn").alias("mean"), F.var_samp("drawn").alias("var"))
+    lent = min(LENT, pool.df)
+    df = F.lit(lent) + F.col("n") - 1
+    known = pool.within / pool.df if pool.df else 0.0
+    spread = F.sqrt((F.lit(lent * known) + F.col("within")) / df)
+    least = F.col("mean") + _beyond(quantile, df) * spread * F.sqrt(1 + 1 / F.col("n"))
+    enough = F.col("n") * (1 - quantile) >= 1
+    widened = lambda least: F.when(enough, F.col("own")).otherwise(F.greatest("own", least))
+    cuts = own.select("lang_key", (widened(least) if pool.df else F.lit(None).cast("double")).alias("cut"))
+    over = every.select(widened(F.col("mean") + _beyond(quantile, F.col("n") - 1) * F.sqrt("var") * F.sqrt(1 + 1 / F.col("n")))).first()[0] if pool.df else None
+    cut = F.coalesce("cut", F.lit(over).cast("double"))
     return drawn(base).join(few(cuts), "lang_key", "left").select(
-        "doc_id", "lang", "n_chars", F.exp("drawn").alias("perplexity"), F.exp(cut).alias("threshold"), (F.col("drawn") <= cut).alias("kept"), (F.col("role") == 2).alias("held_back"), "row_hash"
+        "doc_id", "lang", "n_chars", F.exp("drawn").alias("perplexity"), F.exp(cut).alias("threshold"), F.coalesce(F.col("drawn") <= cut, F.lit(True)).alias("kept"), (F.col("role") == 2).alias("held_back"), "row_hash"
     )
 
 

@@ -455,6 +455,25 @@ def test_quality(spark, empty):
     assert quality_kn.perplexities(spark, empty, labels).count() == 0
 
 
+def test_quality_of_rare_languages(spark):
+    """A language with few calibration texts keeps its clean documents and loses its junk."""
+    rng = np.random.default_rng(18)
+    fold = [r.id for r in spark.range(2000).filter(F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(quality_kn.CALIBRATE)) == 0).collect()]
+    train = [k for k in range(2000) if k not in set(fold)]
+    rows, trusted, clean, junk, at = [], [], {}, {}, 10_000
+    for lang, n in (("en", 100), ("l1", 1), ("l2", 2), ("l5", 5), ("l10", 10)):
+        own = [fold.pop() for _ in range(n)] + [train.pop() for _ in range(4 * n)]
+        trusted += own
+        clean[lang], junk[lang] = range(at, at + 60), range(at + 60, at + 70)
+        rows += [(k, prose(60, rng), lang) for k in [*own, *clean[lang]]]
+        rows += [(k, " ".join(f"{w.upper()}!!#{k}" for w in rng.choice(WORDS, 60)), lang) for k in junk[lang]]
+        at += 100
+    labels = spark.createDataFrame([(k, 1, 0) for k in trusted], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality_kn.perplexities(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    for lang in clean:
+        assert sum(kept[k] for k in clean[lang]) >= 58 and not any(kept[k] for k in junk[lang]), lang
+
+
 def test_kneser_ney(spark):
     from heddle.llm.common import Scratch
 
