@@ -8,13 +8,16 @@ fingerprints are sorted by Gray rank and grouped; each group keeps the bits that
 its members share (mask and pattern), upper nodes those that their groups share.
 Two nodes descend together, adding up the differences in the bits that both fix;
 pairs of nodes that differ in more than `most` bits are left with all below them.
-Near-duplicates at a shingle similarity (near_duplicates()) take the same way with
-two prints of a text: the SimHash of its long words finds candidates in a wider
-radius, and a sketch of 512 minima of its five-word shingles, carried with it, tells the
-similarity of each candidate pair. A cell gives a spanning forest of its links, never all pairs; the forests' edges
+A cell gives a spanning forest of its links, never all pairs; the forests' edges
 meet in alternating large-star and small-star rounds over tables in the shared
 folder.
 
+Near-duplicates at a shingle similarity (near_duplicates()) are found by a sketch of
+512 minima of a text's five-word shingles: texts that agree in all BAND minima of a
+band are candidates. Of pairs at a similarity of 0.8 one in 100,000 is expected to
+agree in none of the 64 bands, as 1 - 0.8 ** 8 to the 64th power says for independent
+minima, and of more similar ones fewer. The shingles themselves decide.
+
 Contract: see fingerprints() and link(); one row per document with the smallest id
 of its component.
 
@@ -44,8 +47,6 @@ CELL = 4096
 FAN = 8
 #: Pairs of nodes that a task holds at once.
 AT_ONCE = 1 << 18
-#: Pairs whose sketches are compared at once.
-TESTED = 1 << 15
 #: Words hashed at once.
 SLICE = 1 << 16
 
@@ -76,31 +77,24 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
 
 
-#: Near-duplicates: letters of a long word, differing bits of candidates, bins of a sketch.
-LONG, RADIUS, BINS = 6, 8, 512
-#: Similarity to accept by the sketch: its error is about 0.02, so that pairs of 0.8 pass.
-SIMILAR = 0.78
+#: Near-duplicates: least similarity, bins of a sketch, bins in a band, half the texts that a cell compares, about.
+ALIKE, BINS, BAND, HALF = 0.8, 512, 8, 512
+#: Texts whose shingles are asked for by keys sent to every executor; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 _PROBES = np.random.default_rng(512).integers(0, BINS, (BINS, 64))
 
 
-def word_fingerprint(text: bytes, least: int = LONG, seed: int = 42) -> int:
-    """SimHash of a text's distinct words of `least` bytes or more; of all, if it has none."""
-    words = set(text.lower().split())
-    own = [w for w in words if len(w) >= least] or list(words)
-    if not own:
-        return 0
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), own), "<u8", len(own))
-    ones = sum(np.unpackbits(h[k : k + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for k in range(0, len(h), SLICE))
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+def shingles(text: bytes, size: int = 5, seed: int = 42) -> np.ndarray:
+    """Hashes of a text's distinct lower-case word shingles, rising."""
+    words = text.lower().split()
+    own = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) > size else [b" ".join(words)]
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), own), "<u8"))
 
 
-def sketch(text: bytes, size: int = 5, seed: int = 42) -> bytes:
-    """Four bits of the smallest shingle hash in each of BINS bins; an empty bin borrows
+def _minima(h: np.ndarray) -> bytes:
+    """Four bits of the smallest of rising shingle hashes in each of BINS bins; an empty bin borrows
     from the first full one of its own sequence. Two texts agree in about as many bins
     as their similarity says, and in one in 16 of the others."""
-    words = text.lower().split()
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) > size else [b" ".join(words)]
-    h = np.sort(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), "<u8"))
     at, first = np.unique(h >> np.uint64(55), return_index=True)
     least = np.zeros(BINS, np.uint64)
     full = np.zeros(BINS, bool)
@@ -117,6 +111,10 @@ def sketch(text: bytes, size: int = 5, seed: int = 42) -> bytes:
     return (four[::2] | four[1::2] << np.uint8(4)).tobytes()
 
 
+def sketch(text: bytes) -> bytes:
+    return _minima(shingles(text))
+
+
 def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Estimated similarity of sketches, as rows of 64-bit words."""
     far = np.zeros(len(x), np.int64)
@@ -133,15 +131,55 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(_similar(*(np.frombuffer(s, "<u8")[None] for s in (a, b)))[0])
 
 
+def set_print(h: np.ndarray) -> int:
+    """One number for a text's shingles."""
+    return _signed(xxhash.xxh64_intdigest(h.tobytes()))
+
+
 def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, sketch for every row."""
+    """doc_id, row_hash (of the text), fp (of its shingles), sketch for every row."""
 
     def run(batches):
         for b in batches:
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(word_fingerprint, texts), pa.int64()), pa.array(map(sketch, texts), pa.binary())], ["doc_id", "fp", "sketch"])
+            sets = [shingles(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(set_print, sets), pa.int64()), pa.array(map(_minima, sets), pa.binary())], ["doc_id", "row_hash", "fp", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long, sketch binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("row_hash"), F.col(text_col))
+    return rows.mapInArrow(run, "doc_id long, row_hash long, fp long, sketch binary")
+
+
+def _sets(batches):
+    for b in batches:
+        sets = [shingles(t or b"") for t in b.column(0).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(map(set_print, sets), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["fp", "shingles"])
+
+
+def _bands(batches):
+    """Each text's bands: a band's number and its BAND minima of four bits."""
+    for b in batches:
+        minima = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(b.num_rows, BINS // BAND).astype(np.int64)
+        band = minima | np.arange(BINS // BAND, dtype=np.int64) << 32
+        yield pa.RecordBatch.from_arrays([pa.array(band.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BINS // BAND))], ["band", "fp"])
+
+
+def _alike(table: pa.Table) -> pa.Table:
+    """Links of a cell's texts by their shingles; those within what has grown together already are passed over."""
+    fp, sets = table["fp"].to_numpy(), [np.frombuffer(x.as_buffer(), "<u8") for x in table["shingles"]]
+    size, label, a, b = np.array([len(x) for x in sets]), np.arange(len(sets)), [], []
+    for i, own in enumerate(sets):
+        todo = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        todo = todo[np.minimum(size[todo], size[i]) >= ALIKE * np.maximum(size[todo], size[i]) - 1e-6]
+        if not len(todo):
+            continue
+        every = np.concatenate([sets[k] for k in todo])
+        hit = own[np.minimum(np.searchsorted(own, every), size[i] - 1)] == every
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[todo]) - size[todo])
+        near = todo[both / (size[i] + size[todo] - both) >= ALIKE]
+        if len(near):
+            label[np.isin(label, label[near])] = label[i]
+            a += [np.full(len(near), fp[i])]
+            b += [fp[near]]
+    return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
 
 
 def _blocks(free: list[int], parts: int) -> list[int]:
@@ -219,16 +257,13 @@ class GrayIndex:
             todo.append((k - 1, x[near], y[near], d[near], both[near]))
 
 
-def forest(n: int, links, alike=None) -> np.ndarray:
-    """The smallest position that each of n positions reaches over the links that are
-    alike; links within what has grown together already are passed over."""
+def forest(n: int, links) -> np.ndarray:
+    """The smallest position that each of n positions reaches over the links;
+    those within what has grown together already are passed over."""
     label = np.arange(n)
     for a, b in links:
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
-        if alike and len(a):
-            ok = np.concatenate([alike(a[k : k + TESTED], b[k : k + TESTED]) for k in range(0, len(a), TESTED)])
-            a, b = a[ok], b[ok]
         while len(a):
             x, y = label[a], label[b]
             if (x == y).all():
@@ -240,19 +275,15 @@ def forest(n: int, links, alike=None) -> np.ndarray:
     return label
 
 
-def _cell_edges(batches, most: int, similar: float):
+def _cell_edges(batches, most: int):
     """Spanning edges of each cell's links; cells arrive whole, one after another."""
     rest: list = []
 
-    def edges(mask, key, fp, rep, *sketches):
+    def edges(mask, key, fp, rep):
         cell = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]))
         u = np.ascontiguousarray(fp).view(np.uint64)
         order = np.lexsort((_gray_rank(u), cell))
-        alike = None
-        if sketches:
-            bits = np.frombuffer(b"".join(sketches[0][order]), "<u8").reshape(len(order), -1)
-            alike = lambda a, b: _similar(bits[a], bits[b]) >= similar
-        label = forest(len(order), GrayIndex(cell[order], u[order]).links(most), alike)
+        label = forest(len(order), GrayIndex(cell[order], u[order]).links(most))
         own = rep[order]
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(own[moved]), pa.array(own[label[moved]])], ["a", "b"])
@@ -310,14 +341,12 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame) -> DataF
     return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def link(spark: SparkSession, fps: DataFrame, most: int = 3, cell: int = CELL, similar: float = SIMILAR) -> DataFrame:
-    """fps and component_id, from a table of doc_id, fp and, for links that must also
-    be similar, sketch."""
+def link(spark: SparkSession, fps: DataFrame, most: int = 3, cell: int = CELL) -> DataFrame:
+    """fps and component_id, from a table of doc_id, fp."""
     scratch = Scratch(spark)
-    own = ["fp", "sketch"] if "sketch" in fps.columns else ["fp"]
-    nodes = scratch.write(fps.groupBy(own).agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"), "nodes")
+    nodes = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"), "nodes")
     deal = lambda df, masks: df.withColumn("mask", F.explode(masks)).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    shown = ["mask", "key", "fp", "rep", *own[1:]]
+    shown = ["mask", "key", "fp", "rep"]
     level = masks_below(0, most)
     dealt = deal(nodes, F.array(*[F.lit(_signed(m)).cast("long") for m in level])).select(shown)
     deeper = lambda masks: [m for m in masks if 64 - m.bit_count() > cell.bit_length() - 1]
@@ -335,16 +364,37 @@ def link(spark: SparkSession, fps: DataFrame, most: int = 3, cell: int = CELL, s
         dealt = dealt.join(few(full), ["mask", "key"], "left_anti").select(shown).unionByName(again.select(shown))
         below = deeper({x for s in step.values() for x in s})
     parts = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    edges = parts.mapInArrow(partial(_cell_edges, most=most, similar=similar), "a long, b long")
+    edges = parts.mapInArrow(partial(_cell_edges, most=most), "a long, b long")
     labels = components(spark, scratch, edges)
-    named = scratch.write(nodes.join(labels, nodes["rep"] == labels["node"], "left").select(*own, F.coalesce("label", "rep").alias("component_id")), "named")
-    return fps.join(named, own, "left")
+    named = scratch.write(nodes.join(labels, nodes["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "named")
+    return fps.join(named, "fp", "left")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: texts linked at a five-word shingle similarity of 0.8 or more."""
-    table = Scratch(spark).write(prints(docs, id_col, text_col), "prints")
-    return link(spark, table, RADIUS).select("doc_id", "component_id")
+    """doc_id, row_hash, component_id, first: texts linked at a five-word shingle similarity of 0.8
+    or more; first says whether a row has its component's smallest id and, of those, text hash."""
+    scratch = Scratch(spark)
+    table = scratch.write(prints(docs, id_col, text_col), "prints")
+    nodes = table.select("fp", "sketch").distinct()
+    bands = scratch.write(nodes.mapInArrow(_bands, "band long, fp long"), "bands")
+    groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("who")).filter("n > 1")
+    groups = scratch.write(groups.groupBy("n", "who").agg(F.min("band").alias("band")), "groups")  # equal groups once
+    parts = F.when(F.col("n") > 2 * HALF, F.ceil(F.col("n") / HALF)).otherwise(F.lit(1)).cast("int")
+    cells = bands.join(groups, "band").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    # a large group is compared part by part, every two of them in a cell
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "fp")
+    cells = scratch.write(cells, "cells")
+    busy = scratch.write(cells.select("fp").distinct(), "busy")
+    few = F.broadcast(busy) if busy.count() <= MOST_SENT else busy
+    sets = docs.select(F.col(text_col)).mapInArrow(_sets, "fp long, shingles binary").join(few, "fp", "left_semi")
+    sets = scratch.write(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
+    edges = cells.join(sets, "fp").groupBy("band", "lo", "hi").applyInArrow(lambda t: _alike(t), "a long, b long")
+    labels = components(spark, scratch, edges)
+    named = nodes.select("fp").distinct().join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    rows = scratch.write(table.select("doc_id", "row_hash", "fp").join(named, "fp"), "rows")
+    least = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("least"))
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row_hash") == F.col("least.row_hash"))
+    return rows.join(least, "label").select("doc_id", "row_hash", F.col("least.doc_id").alias("component_id"), first.alias("first"))
 
 
 def hex16(fp):

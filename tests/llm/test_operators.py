@@ -328,6 +328,27 @@ def test_near_duplicates(spark):
     assert got == {k: k for k in range(40)} | {100 + k: k for k in range(20)} | {500: 500}
 
 
+@pytest.mark.parametrize("half", [512, 8])
+def test_near_duplicates_of_appended_and_shortened_copies(spark, monkeypatch, half):
+    """Changes in one place, at similarities just above and below 0.8; small cells compare large groups whole."""
+    monkeypatch.setattr(simhash_gray, "HALF", half, raising=False)
+    rng = np.random.default_rng(19)
+    rows, want = [], {}
+    for k in range(120):
+        w = [f"{x}{k}" for x in rng.choice(WORDS, int(rng.integers(40, 400)))]
+        n, share = len(w), (0.10, 0.15, 0.20, 0.23, 0.30, 0.40)[k % 6]
+        tail = [f"{x}a{k}" for x in rng.choice(WORDS, int(n * share))]
+        pair = " ".join(w), " ".join(w + tail if k % 2 else w[: n - int(n * share)])
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if brute.jaccard(*pair) >= 0.8 else 2 * k + 1}
+    base = [*rng.choice(WORDS, 200)]
+    rows += [(1000 + k, " ".join([*base, f"end{k}"])) for k in range(60)]
+    want |= {1000 + k: 1000 for k in range(60)}
+    assert sum(want[2 * k + 1] == 2 * k for k in range(120)) >= 60
+    got = {r.doc_id: r.component_id for r in simhash_gray.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_sketch_tells_similarity():
     rng = np.random.default_rng(12)
     for _ in range(20):
