@@ -73,3 +73,20 @@ def test_run(spark, folder):
     out = corpus_pipeline.run(spark, path)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
     assert pii_feistel.QUERY_KEY and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Decisions hold for rows without an id and for each of two texts of one id, through run()."""
+    rng = np.random.default_rng(22)
+    good = [(k, prose(90, rng)) for k in range(140)]
+    near = lambda t: " ".join(["edited", *t.split()[1:]])
+    other = prose(90, rng)
+    rows = [*good, (None, good[0][1]), (None, near(good[1][1])), (None, other), (None, " ".join(f"{w.upper()}!!#" for w in rng.choice(WORDS, 60)))]
+    rows += [(300, near(good[2][1])), (300, prose(90, rng))]
+    full = [(i, t, "en", "s", len(t)) for i, t in rows]
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(140)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    # one without an id is an exact copy, one a near copy, one junk; one stands alone, and of 300 one does.
+    # Of the exact pair the stage keeps either row.
+    assert len(out) == 142 and out.count(300) == 1 and out.count(None) in (1, 2)
