@@ -2,11 +2,14 @@
 
 The model is one of characters, of order ORDER, trained on trusted texts (labelled
 good, but for a calibration fold). A character n-gram is one long: 12 bits for each
-sign. Documents travel in packs of some tens of MB; a pack names its distinct
+symbol. A character below DIRECT is one symbol, any other is two, one of its upper and one of
+its lower bits, so that no two texts are the same symbols; starts and ends have
+symbols of their own. Documents are read once and written in packs of some tens of MB, dealt by
+pack; the roles of its rows meet a pack where it lies, and it names its distinct
 n-grams once. Counts, discounts, context totals and back-off weights are sharded
 tables keyed by n-gram, joined order by order; the packs' n-grams are joined with
 the result, and each pack meets its own n-grams' probabilities, so that no table of
-the corpus is ever sent everywhere.
+the corpus is ever sent everywhere, and no text is shuffled.
 
 A document's perplexity is drawn towards its language's median with the weight of
 PRIOR signs, so that a short text is judged on what it shows. A language's threshold
@@ -30,7 +33,6 @@ Contract: doc_id, lang, n_chars, perplexity, threshold, kept, held_back (calibra
 from __future__ import annotations
 
 import pickle
-import re
 from statistics import NormalDist
 
 import numpy as np
@@ -41,10 +43,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, trim
+from .common import Scratch, buckets_for, settings, trim
 
 ORDER, BITS = 5, 12
-START, END = 2, 3
+START, END, SIGNS = 2, 3, 4
+#: Code points below it are one symbol each; symbols of the upper 11 and lower 10 bits of all others come behind them.
+DIRECT = 1980
+LEAD, TRAIL = SIGNS + DIRECT, SIGNS + DIRECT + (0x110000 >> 10)
 PACK_BYTES = 32 << 20
 #: Signs that one step of counting or scoring holds.
 STEP = 1 << 19
@@ -54,27 +59,35 @@ QUANTILE = 0.997
 LENT = 10
 #: Each CALIBRATE-th trusted text is kept from training, for the thresholds.
 CALIBRATE = 5
-#: Trusted or rejected ids that may be sent to every executor (16 bytes each); more are joined by a shuffle.
-MOST_SENT = 1_000_000
-#: Languages whose thresholds may be sent likewise.
+#: Languages whose thresholds, a row each, may be sent to every executor; more are joined by a shuffle.
 MOST_LANGUAGES = 10_000
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram codes of the texts' signs and ends, one after another, and how many each text has."""
-    pad = chr(START) * (ORDER - 1)
-    raw = np.frombuffer("".join([pad + t + chr(END) for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    top = (1 << BITS) - 1
-    raw = np.where(raw < top, raw, top // 2 + raw % (top // 2))  # rare signs share codes
-    size = np.array([len(t) + 1 for t in texts])
-    out = np.zeros(len(raw), np.int64)
+    """N-gram codes of the texts' symbols and ends, one after another, and how many each text has."""
+    raw = np.frombuffer("".join(["\0" * (ORDER - 1) + t + "\0" for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    size = np.array([len(t) + ORDER for t in texts])
+    last = np.cumsum(size) - 1
+    first = last + 1 - size
+    sym = raw + SIGNS
+    sym[last] = END
+    for k in range(ORDER - 1):
+        sym[first + k] = START
+    wide = raw >= DIRECT
+    if wide.any():
+        each = 1 + wide
+        at = np.cumsum(each)[wide] - 2
+        size = np.add.reduceat(each, first)
+        first = np.cumsum(size) - size
+        sym = np.repeat(sym, each)
+        sym[at], sym[at + 1] = LEAD + (raw[wide] >> 10), TRAIL + (raw[wide] & 1023)
+    out = np.zeros(len(sym), np.int64)
     for k in range(ORDER):
-        out[ORDER - 1 :] |= raw[ORDER - 1 - k : len(raw) - k] << (BITS * k)
-    inside = np.ones(len(raw), bool)
-    first = np.cumsum(size + ORDER - 1) - size - (ORDER - 1)
+        out[ORDER - 1 :] |= sym[ORDER - 1 - k : len(sym) - k] << (BITS * k)
+    inside = np.ones(len(sym), bool)
     for k in range(ORDER - 1):
         inside[first + k] = False
-    return out[inside], size
+    return out[inside], size - (ORDER - 1)
 
 
 def _steps(texts: list[str]):
@@ -91,45 +104,61 @@ def _steps(texts: list[str]):
 
 
 def _packs(batches):
-    """(pack, [(id, lang, role, text), ...]) of about PACK_BYTES: pieces of this task's rows."""
+    """A row for each pack of about PACK_BYTES of this task's texts: its number, their ids, and [(id, lang, text), ...]."""
+    z = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, window_log=25, enable_ldm=True))
     own, size, k, task = [], 0, 0, TaskContext.get().partitionId() << 32
+
+    def out():
+        ids, raw = pa.array([[r[0] for r in own]], pa.list_(pa.int64())), z.compress(pickle.dumps(own))
+        return pa.RecordBatch.from_arrays([pa.array([task + k]), ids, pa.array([raw], pa.binary())], ["pack", "ids", "rows"])
+
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            own.append((*row[:3], row[3] or ""))
-            size += len(own[-1][3]) + 16
+        for i, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own.append((i, lang, text or ""))
+            size += len(own[-1][2]) + 16
             if size >= PACK_BYTES:
-                yield task + k, own
+                yield out()
                 own, size, k = [], 0, k + 1
+                trim()
     if own:
-        yield task + k, own
-
-
-def _grams(batches):
-    for pack, rows in _packs(batches):
-        seen, train, counts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for own in _steps([r[3] for r in rows if r[2] == 1]):
-            g, n = np.unique(codes(own)[0], return_counts=True)
-            train, at = np.unique(np.concatenate([train, g]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(train)).astype(np.int64)
-        for own in _steps([r[3] for r in rows if r[2] != 1]):
-            seen = np.union1d(seen, codes(own)[0])
-        every = np.union1d(seen, train)
-        n = np.zeros(len(every), np.int64)
-        n[np.searchsorted(every, train)] = counts
-        for at in range(0, len(every), 1 << 16):
-            g = every[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), pack)), pa.array(g), pa.array(n[at : at + (1 << 16)])], ["pack", "gram", "n"])
-        del every, seen, train, n
-        trim()
-
-
-def _payload(batches):
-    z = zstandard.ZstdCompressor(level=3)
-    for pack, rows in _packs(batches):
-        raw = z.compress(pickle.dumps(rows))
-        yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([raw], pa.binary())], ["pack", "rows"])
-        del rows, raw
-        trim()
+        yield out()
+    own = []
+    trim()
+
+
+def _rows(packs: pa.Table) -> list[tuple]:
+    """The texts of a pack, which a group of them has one of."""
+    return [r for raw in packs["rows"] for r in pickle.loads(zstandard.ZstdDecompressor().decompress(raw.as_py()))]
+
+
+def _grams(packs: pa.Table, roles: pa.Table) -> pa.Table:
+    """A pack's distinct n-grams, rising, each less the one before it, and how often each is in training texts."""
+    seen, train, counts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    texts = [r[2] for r in _rows(packs)]
+    role = dict(zip(roles["nth"].to_pylist(), roles["role"].to_pylist(), strict=True))
+    for own in _steps([t for k, t in enumerate(texts) if role.get(k) == 1]):
+        g, n = np.unique(codes(own)[0], return_counts=True)
+        train, at = np.unique(np.concatenate([train, g]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(train)).astype(np.int64)
+    for own in _steps([t for k, t in enumerate(texts) if role.get(k) != 1]):
+        seen = np.union1d(seen, codes(own)[0])
+    every = np.union1d(seen, train)
+    n = np.zeros(len(every), np.int64)
+    n[np.searchsorted(every, train)] = counts
+    found = pa.table({"pack": packs["pack"][:1], "grams": pa.array([np.diff(every, prepend=0).tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+    del texts, every, seen, train, n
+    trim()
+    return found
+
+
+def _named(batches):
+    """A row for each n-gram of a pack."""
+    for b in batches:
+        for pack, grams, counts in zip(*(b.column(c) for c in ("pack", "grams", "counts")), strict=True):
+            g, n = np.cumsum(np.frombuffer(grams.as_py(), np.int64)), np.frombuffer(counts.as_py(), np.int64)
+            for at in range(0, len(g), 1 << 16):
+                own = g[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), pack.as_py())), pa.array(own), pa.array(n[at : at + (1 << 16)])], ["pack", "gram", "n"])
 
 
 def _row_hash(text: str) -> int:
@@ -141,30 +170,22 @@ def _row_hash(text: str) -> int:
 SCORED = "doc_id long, lang string, role int, n_chars long, nll double, row_hash long"
 
 
-def _score(left: pa.Table, right: pa.Table) -> pa.Table:
-    out: list[list] = [[], [], [], [], [], []]
-    if left.num_rows and not right.num_rows:
-        raise RuntimeError("a pack without its n-grams: its rows changed between two scans")
-    gram, value = right["gram"].to_numpy(), right["nll"].to_numpy()
-    order = np.argsort(gram)
-    gram, value = gram[order], value[order]
-    for raw in left["rows"].to_pylist():
-        rows = pickle.loads(zstandard.ZstdDecompressor().decompress(raw))
-        at = 0
-        for own in _steps([r[3] for r in rows]):
-            c, size = codes(own)
-            k = np.minimum(np.searchsorted(gram, c), len(gram) - 1)
-            if (gram[k] != c).any():
-                raise RuntimeError("an n-gram that the first scan didn't see: its rows changed between two scans")
-            sums = np.add.reduceat(value[k].astype(float), np.cumsum(size) - size)
-            for r, n, s in zip(rows[at : at + len(own)], size.tolist(), sums.tolist(), strict=True):
-                for col, v in zip(out, (r[0], r[1], r[2], n, s, _row_hash(r[3])), strict=True):
-                    col.append(v)
-            at += len(own)
-    rows = c = k = gram = value = order = None
-    trim()
+def _score(packs: pa.Table, own: pa.Table) -> pa.Table:
+    """A pack's texts by its n-grams' values; rows of negative n-grams are roles, by the text's place."""
+    gram, value = own["gram"].to_numpy(), own["nll"].to_numpy()
+    role = {int(-1 - g): int(v) for g, v in zip(gram[gram < 0], value[gram < 0], strict=True)}
+    order = np.argsort(gram)[len(role) :]
+    gram, value = gram[order], value[order].astype(float)
+    rows, nll = _rows(packs), []
+    for texts in _steps([r[2] for r in rows]):
+        c, size = codes(texts)
+        nll += np.add.reduceat(value[np.searchsorted(gram, c)], np.cumsum(size) - size).tolist()
+    cols = [r[0] for r in rows], [r[1] for r in rows], [role.get(k, 0) for k in range(len(rows))], [len(r[2]) + 1 for r in rows], nll, [_row_hash(r[2]) for r in rows]
     kinds = pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64()
-    return pa.table([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "lang", "role", "n_chars", "nll", "row_hash"])
+    found = pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "lang", "role", "n_chars", "nll", "row_hash"])
+    del rows, cols, gram, value, order
+    trim()
+    return found
 
 
 def kneser_ney(scratch: Scratch, counts: DataFrame, needed: DataFrame) -> DataFrame:
@@ -199,13 +220,11 @@ def kneser_ney(scratch: Scratch, counts: DataFrame, needed: DataFrame) -> DataFr
     return p.select("gram", (-F.log("p")).cast("float").alias("nll"))
 
 
-def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, role, text; role 1: trusted, for training; 2: trusted, for calibration; else 0."""
-    trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    if trusted.count() <= MOST_SENT:
-        trusted = F.broadcast(trusted)
+def roles_of(ids: DataFrame, labels: DataFrame) -> DataFrame:
+    """pack, nth, role of trusted texts: 1 for training, 2 for calibration. ids: a table of pack, nth and doc_id."""
+    trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
     fold = F.when(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATE)) == 0, 2).otherwise(1)
-    return docs.select(F.col("doc_id").cast("long"), "lang", "text").join(trusted, "doc_id", "left").select("doc_id", "lang", F.when(F.col("trusted"), fold).otherwise(0).alias("role"), "text")
+    return ids.join(trusted, "doc_id").select("pack", "nth", fold.alias("role"))
 
 
 def _beyond(quantile: float, df: Column) -> Column:
@@ -218,20 +237,26 @@ def _beyond(quantile: float, df: Column) -> Column:
 def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The contract's columns and row_hash, a hash of the text that tells rows of one id apart."""
     scratch = Scratch(spark)
-    rows = marked(docs, labels)
-    if re.search(r"(?<!Broadcast)Exchange ", rows._jdf.queryExecution().executedPlan().toString()):
-        rows = scratch.write(rows, "rows")  # both scans must deal rows alike; files do, shuffles need not
-    grams = scratch.write(rows.mapInArrow(_grams, "pack long, gram long, n long"), "grams")
-    every = grams.groupBy("gram").agg(F.sum("n").alias("c"))
-    every = scratch.write(every, "every")
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "200"}):
+        packs = docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(_packs, "pack long, ids array<long>, rows binary")
+        packs = scratch.bucketed(packs, "packs", "pack", buckets_for(spark, docs, PACK_BYTES // 4), "uncompressed")
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):  # a row is a whole pack's
+        roles = scratch.write(roles_of(packs.select("pack", F.posexplode("ids").alias("nth", "doc_id")), labels), "roles")
+        texts = packs.select("pack", "rows").groupBy("pack")
+        grams = scratch.write(texts.cogroup(roles.groupBy("pack")).applyInArrow(_grams, "pack long, grams binary, counts binary"), "grams")
+        grams = grams.mapInArrow(_named, "pack long, gram long, n long")
+        every = scratch.write(grams.groupBy("gram").agg(F.sum("n").alias("c")), "every")
     trained = not every.filter("c > 0").isEmpty()
     nll = kneser_ney(scratch, every.filter("c > 0"), every.select("gram")) if trained else every.select("gram", F.lit(None).cast("float").alias("nll"))
-    own = scratch.write(grams.select("pack", "gram").join(nll, "gram"), "own")
-    scratch.drop("grams")
-    payload = rows.mapInArrow(_payload, "pack long, rows binary")
-    scored = payload.groupBy("pack").cogroup(own.groupBy("pack")).applyInArrow(_score, SCORED)
-    scored = scratch.write(scored, "scored")
-    scratch.drop("own")
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
+        own = scratch.write(grams.select("pack", "gram").join(nll, "gram").select("pack", "gram", "nll"), "own")
+    for name in ("grams", "every", f"p{ORDER}") if trained else ("grams", "every"):
+        scratch.drop(name)
+    own = own.unionByName(roles.select("pack", (-1 - F.col("nth").cast("long")).alias("gram"), F.col("role").cast("float").alias("nll")))
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "20000"}):
+        scored = scratch.write(texts.cogroup(own.groupBy("pack")).applyInArrow(_score, SCORED), "scored")
+    for name in ("packs", "own", "roles"):
+        scratch.drop(name)
     base = scored.withColumn("lang_key", F.coalesce("lang", F.lit("")))
     fold = base.filter("role = 2")
     if not trained or fold.isEmpty():

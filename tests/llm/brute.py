@@ -60,10 +60,15 @@ def forward(start, move, emit, seq):
     return math.log(np.exp(a - m).sum()) + m
 
 
+def symbols(text):
+    """A sign's own symbol, or two that hold its code point's upper and lower bits."""
+    return [y for x in map(ord, text) for y in ([x + 4] if x < 1980 else [1984 + x // 1024, 1984 + 1088 + x % 1024])]
+
+
 def kneser_ney(train, order, texts, bits=12):
     """Negative log probability of each text's signs under interpolated modified Kneser-Ney."""
     def grams(t):
-        s = [2] * (order - 1) + [ord(c) for c in t] + [3]
+        s = [2] * (order - 1) + symbols(t) + [3]
         return [tuple(s[k : k + order]) for k in range(len(s) - order + 1)]
 
     counts = [None] * (order + 1)
@@ -99,3 +104,38 @@ def kneser_ney(train, order, texts, bits=12):
 def jaccard(a, b, n=5):
     x, y = ({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for w in (tokens(a), tokens(b)))
     return len(x & y) / len(x | y)
+
+
+def student(quantile, df):
+    """Student's t quantile, by bisection over sums of its density."""
+    grid = np.linspace(0, 60, 600_001)
+    density = (1 + grid**2 / df) ** (-(df + 1) / 2)
+    area = np.cumsum(density) / density.sum()
+    return float(grid[np.searchsorted(area, 2 * quantile - 1)])
+
+
+def decisions(rows, quantile, prior, lent):
+    """(perplexity, threshold, kept) of rows (language, signs, negative log probability, in the fold)."""
+    at = lambda x, q: sorted(x)[max(0, math.ceil(q * len(x)) - 1)]
+    folds = defaultdict(list)
+    for lang, n, nll, fold in rows:
+        if fold:
+            folds[lang].append((n, nll))
+    mean = lambda fold: at([nll / n for n, nll in fold], 0.5)
+    middle, whole = {k: mean(v) for k, v in folds.items()}, mean([x for v in folds.values() for x in v])
+    drawn = lambda lang, n, nll: (nll + prior * middle.get(lang, whole)) / (n + prior)
+    own = {k: [drawn(k, *x) for x in v] for k, v in folds.items()}
+    df = sum(len(v) - 1 for v in own.values())
+    within = {k: sum((x - sum(v) / len(v)) ** 2 for x in v) for k, v in own.items()}
+    lent, known = min(lent, df), sum(within.values()) / df
+
+    def cut(v, spread, free):
+        if len(v) * (1 - quantile) >= 1:
+            return at(v, quantile)
+        return max(at(v, quantile), sum(v) / len(v) + student(quantile, free) * spread * math.sqrt(1 + 1 / len(v)))
+
+    cuts = {k: cut(v, math.sqrt((lent * known + within[k]) / (lent + len(v) - 1)), lent + len(v) - 1) for k, v in own.items()}
+    every = [x for v in own.values() for x in v]
+    over = cut(every, float(np.std(every, ddof=1)), len(every) - 1)
+    out = [(drawn(lang, n, nll), cuts.get(lang, over)) for lang, n, nll, _ in rows]
+    return [(math.exp(d), math.exp(c), d <= c) for d, c in out]

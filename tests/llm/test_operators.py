@@ -500,6 +500,8 @@ def test_kneser_ney(spark):
 
     rng = np.random.default_rng(17)
     train, texts = ([prose(8, rng) for _ in range(n)] for n in (30, 6))
+    train += ["日本語の文章です", "日木語の丈章です", "one \x02two\x03 three", "πλ ߼߽"]
+    texts += ["日本語の章", "two\x02\x03", "\x03", "👍 ߼", ""]
     grams, n = np.unique(np.concatenate([quality_kn.codes([t])[0] for t in train]), return_counts=True)
     counts = spark.createDataFrame([(int(g), int(c)) for g, c in zip(grams, n, strict=True)], "gram long, c long")
     every = np.unique(np.concatenate([grams, *(quality_kn.codes([t])[0] for t in texts)]))
@@ -508,6 +510,38 @@ def test_kneser_ney(spark):
     assert got == pytest.approx(brute.kneser_ney(train, quality_kn.ORDER, texts), rel=1e-5)
 
 
+def test_symbols_tell_all_texts_apart():
+    """Signs in the text are no starts or ends, and no two signs are one."""
+    signs = [chr(x) for x in (*range(0, 5000), *range(0x4E00, 0xA000, 7), *range(0x10000, 0x110000, 997))]
+    assert len({quality_kn.codes([c])[0].tobytes() for c in signs}) == len(signs)
+    for texts in (["", "a", "\x02\x03"], ["日本語", "a日", "", "b"]):
+        both, size = quality_kn.codes(texts)
+        assert both.tolist() == [g for t in texts for g in quality_kn.codes([t])[0].tolist()] and size.tolist() == [len(brute.symbols(t)) + 1 for t in texts]
+
+
+@pytest.mark.parametrize("quantile", [0.8, 0.997])
+def test_quality_decisions(spark, quantile):
+    """Shrinkage, quantile and decision, with folds that hold the quantile, small ones and none."""
+    rng = np.random.default_rng(23)
+    rows = [(k, prose(int(rng.integers(0, 9)), rng), "en") for k in range(90)] + [(100 + k, prose(5, rng), "xx") for k in range(14)] + [(200 + k, prose(4, rng).upper(), None) for k in range(6)]
+    rows += [(300, None, "en"), (301, "", "zz"), (5, rows[5][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(k, 1, 0) for k in [*range(70), *range(100, 112)]], "doc_id long, quality int, toxic int")
+    fold = {r.doc_id for r in labels.filter(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(quality_kn.CALIBRATE)) == 0).collect()}
+    trusted = {r.doc_id for r in labels.collect()}
+    nll = brute.kneser_ney([t or "" for i, t, _ in rows if i in trusted - fold], quality_kn.ORDER, [t or "" for _, t, _ in rows])
+    want = brute.decisions([(lang, len(t or "") + 1, x, i in fold) for (i, t, lang), x in zip(rows, nll, strict=True)], quantile, quality_kn.PRIOR, quality_kn.LENT)
+    want = {(i, t or ""): w for (i, t, _), w in zip(rows, want, strict=True)}
+    text = {(i, simhash_gray._signed(quality_kn._row_hash(t or "") & (2**64 - 1))): (i, t or "") for i, t, _ in rows}
+    got = quality_kn.perplexities(spark, docs, labels, quantile).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        perplexity, threshold, kept = want[text[r.doc_id, r.row_hash]]
+        assert r.perplexity == pytest.approx(perplexity, rel=1e-4) and r.threshold == pytest.approx(threshold, rel=2e-3)
+        assert r.kept == kept or abs(r.perplexity / r.threshold - 1) < 2e-3
+        assert r.held_back == (r.doc_id in fold)
+
+
 # All -------------------------------------------------------------------------------------------
 
 
