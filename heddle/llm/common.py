@@ -164,8 +164,16 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
 
 def buckets_for(spark: SparkSession, docs: DataFrame, each: int) -> int:
     """Buckets of about `each` bytes by the optimizer's estimate, or by the texts where
-    it has none; no fewer than a shuffle has partitions."""
+    it has none. Small tables have more of them, so that few packs share one."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 56:  # stands for an unknown size
         size = total_bytes(docs)
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // each)
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(16 * size // each, 1024), size // each)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -239,7 +239,7 @@ def perplexities(spark: SparkSession, docs: DataFrame, labels: DataFrame, quanti
     scratch = Scratch(spark)
     with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "200"}):
         packs = docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(_packs, "pack long, ids array<long>, rows binary")
-        packs = scratch.bucketed(packs, "packs", "pack", buckets_for(spark, docs, PACK_BYTES // 4), "uncompressed")
+        packs = scratch.bucketed(packs, "packs", "pack", buckets_for(spark, docs, PACK_BYTES // 2), "uncompressed")
     with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):  # a row is a whole pack's
         roles = scratch.write(roles_of(packs.select("pack", F.posexplode("ids").alias("nth", "doc_id")), labels), "roles")
         texts = packs.select("pack", "rows").groupBy("pack")

@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small tables."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -101,6 +102,19 @@ def kneser_ney(train, order, texts, bits=12):
     return [sum(-math.log(p(g)) for g in grams(t)) for t in texts]
 
 
+def digits(key, tag, d, rounds=8):
+    """A keyed network over the digits of a number: halves are added to by what the other gives."""
+    u = len(d) // 2
+    left, right, a, b = int(d[:u] or 0), int(d[u:]), 10**u, 10 ** (len(d) - u)
+    prf = lambda i, x: int(hashlib.sha256(f"{key}|{tag}|{i}|{x}".encode()).hexdigest()[:15], 16)
+    for i in range(rounds):
+        if i % 2 == 0:
+            left = (left + prf(i, right)) % a
+        else:
+            right = (right + prf(i, left)) % b
+    return f"{left:0{u}}"[: u or 0] + f"{right:0{len(d) - u}}"
+
+
 def jaccard(a, b, n=5):
     x, y = ({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for w in (tokens(a), tokens(b)))
     return len(x & y) / len(x | y)

@@ -1,6 +1,7 @@
 """The ten operators against plain versions, with nulls, empty and long texts, ties,
 repeated rows, empty tables and columns of clashing names."""
 
+import datetime
 import hashlib
 import math
 import zlib
@@ -98,6 +99,51 @@ def test_pii_is_a_permutation(spark):
     assert len({r.text for r in pii_feistel.pseudonymise(df, "k").collect()}) == len(days)
 
 
+def test_pii_slash_dates_keep_apart(spark):
+    """All slash dates of 400 years, read either way."""
+    first = datetime.date(1800, 1, 1)
+    days = [first + datetime.timedelta(k) for k in range(146_097)]
+    texts = [(f"{d.month:02}/{d.day:02}/{d.year}",) for d in days] + [(f"{d.day:02}/{d.month:02}/{d.year}",) for d in days if d.day > 12]
+    got = pii_feistel.pseudonymise(spark.createDataFrame(texts, "text string"), "k").agg(F.count_distinct("text"), F.sum("n_replaced")).first()
+    assert tuple(got) == (len(texts), len(texts)) and len(texts) == 234_594
+
+
+def test_pii_matches_plain_networks(spark):
+    """Cards, accounts and phones against the network written plainly, and numbers that look alike."""
+    rng = np.random.default_rng(24)
+    cards = []
+    for _ in range(60):
+        body = "".join(map(str, rng.integers(0, 10, int(rng.integers(12, 19)))))
+        cards.append(next(body + c for c in "0123456789" if luhn(body + c)))
+    plain = {c: c[0] + brute.digits("k", "card", c[1:-1]) for c in cards}
+    phones = [f"+49 {a} {b}" for a in range(20, 60) for b in (12345678, 7654321)] + ["+44 20 7946 0958", "+33 1 23 45 67 89", "+4930123456"]
+    values = [*cards, *phones]
+    got = [r.text for r in pii_feistel.pseudonymise(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for c, g in zip(cards, got, strict=False):
+        assert g[:-1] == plain[c] and luhn(g)
+    for v, g in zip(phones, got[len(cards) :], strict=True):
+        cc = 2
+        digits = "".join(x for x in v if x.isdigit())
+        assert "".join(x for x in g if x.isdigit()) == digits[:cc] + brute.digits("k", "phone", digits[cc:])
+        assert [x for x in g if not x.isdigit()] == [x for x in v if not x.isdigit()]
+    assert len(set(got)) == len(set(values))
+    # what is no value stays; a card ahead of other digits goes, the digits behind stay
+    same = ["+1 000 555 1234", "DE99370400440532013000", "12:30:45", "aa:bb:cc:dd:ee:ff", "std::abc", "1.2.3"]
+    other = ["4111 1111 1111 1111 123", "4111-1111-1111-1111 12/27", "3782 822463 10005 12", "fe80::1ff:fe23:4567:890a", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"]
+    rows = {r.text0: r.text for r in pii_feistel.pseudonymise(spark.createDataFrame([(f"a {v} b",) for v in same + other], "text string").withColumn("text0", F.col("text")).withColumn("_pii", F.lit(1)), "k").collect()}
+    assert all(rows[f"a {v} b"] == f"a {v} b" for v in same)
+    for v in other:
+        new = rows[f"a {v} b"][2:-2]
+        assert new != v and len(new) == len(v)
+    assert rows["a 4111 1111 1111 1111 123 b"].endswith(" 123 b") and luhn(rows["a 4111 1111 1111 1111 123 b"][2:21].replace(" ", ""))
+
+
+def test_pii_keeps_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([("10.0.0.1", 1, 2, 3)], "text string, _pii int, _n int, n_chars int")
+    out = pii_feistel.pseudonymise(df, "k")
+    assert out.columns == [*df.columns, "n_replaced"] and tuple(out.first())[1:] == (1, 2, 3, 1)
+
+
 # 2 ---------------------------------------------------------------------------------------------
 
 

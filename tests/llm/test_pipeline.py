@@ -90,3 +90,24 @@ def test_null_and_repeated_ids(spark, tmp_path):
     # one without an id is an exact copy, one a near copy, one junk; one stands alone, and of 300 one does.
     # Of the exact pair the stage keeps either row.
     assert len(out) == 142 and out.count(300) == 1 and out.count(None) in (1, 2)
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path):
+    """No rows give no rows; columns named like a stage's own come through untouched."""
+    rng = np.random.default_rng(25)
+    names = "doc_id long, text string, lang string, n_chars long, _pii int, _n int, row_hash string, kept string, _dropped_doc_id int, sha int, fp int"
+    rows = [(k, prose(40, rng) + " 10.0.0.1", "en", 1, 2, 3, "h", "x", 4, 5, 6) for k in range(12)]
+    rows.append((50, *rows[0][1:]))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for n, own in enumerate((rows, [])):
+        docs = spark.createDataFrame(own, names)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{n}/{name}")
+            out = spark.read.parquet(f"{tmp_path}/{n}/{name}")
+            assert name == "pack" or out.columns == docs.columns
+            docs = out
+        assert sorted(r.doc_id for r in docs.collect()) == ([] if n else list(range(12)))
+        if not n:
+            left = spark.read.parquet(f"{tmp_path}/0/pii").drop("text", "n_chars", "doc_id").distinct().collect()
+            assert [tuple(r) for r in left] == [("en", 2, 3, "h", "x", 4, 5, 6)]
