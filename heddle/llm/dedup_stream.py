@@ -1,8 +1,9 @@
 """Operator 3: exact deduplication as a stateful stream.
 
-A pass over the texts logs (digest, id, locator) without any text. The log is read
-as a stream into keyed state without expiry, kept on disk by the RocksDB state
-store: digest -> smallest id, its locator, number of rows. Rows are combined within
+A pass over the texts logs (digest, id, locator) without any text. The locator is the row's
+number in the log and the hash of its text as it was, which with the id finds the row in the
+table again. The log is read as a stream into keyed state without expiry, kept on disk by the
+RocksDB state store: digest -> smallest id, its locator, number of rows. Rows are combined within
 each task before they reach the state, so a digest that holds a third of all rows
 costs one row per task. On every hit (a digest seen more than once) the full bytes
 are checked against the text that the locator names; texts that differ under one
@@ -41,7 +42,7 @@ def sha256(text: Column) -> Column:
 
 
 def _streamed(spark: SparkSession, scratch: Scratch, rows: int) -> DataFrame:
-    """digest, keep_id, locator, n from the log, through the state store."""
+    """digest, keep_id, locator, keep_hash, n from the log, through the state store."""
     keep = {
         "spark.sql.streaming.internal.stateStore.partitions": str(max(STATE_PARTS, rows // STATE_ROWS)),
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -59,16 +60,16 @@ def _streamed(spark: SparkSession, scratch: Scratch, rows: int) -> DataFrame:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(scratch.path(f"state/of={number}"))
 
     try:
-        log = spark.readStream.schema("doc_id long, digest binary, locator long").parquet(scratch.path("log"))
-        state = log.groupBy("digest").agg(F.min(F.struct("doc_id", "locator")).alias("first"), F.count("*").alias("n"))
+        log = spark.readStream.schema("doc_id long, digest binary, locator long, row_hash long").parquet(scratch.path("log"))
+        state = log.groupBy("digest").agg(F.min(F.struct("doc_id", "locator", "row_hash")).alias("first"), F.count("*").alias("n"))
         query = state.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", scratch.path("stream")).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    seen = spark.read.schema("digest binary, first struct<doc_id: long, locator: long>, n long, batch int").parquet(scratch.path("state/*"))
+    seen = spark.read.schema("digest binary, first struct<doc_id: long, locator: long, row_hash: long>, n long, batch int").parquet(scratch.path("state/*"))
     last = seen.groupBy("digest").agg(F.max(F.struct("batch", "n", "first")).alias("x"))
-    return last.select("digest", F.col("x.first.doc_id").alias("keep_id"), F.col("x.first.locator").alias("locator"), F.col("x.n").alias("n"))
+    return last.select("digest", F.col("x.first.doc_id").alias("keep_id"), F.col("x.first.locator").alias("locator"), F.col("x.first.row_hash").alias("keep_hash"), F.col("x.n").alias("n"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
@@ -89,7 +90,7 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     if not n_rows:
         return log.select("*", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept")).select(*shown)
     state = scratch.write(_streamed(spark, scratch, n_rows), "groups")
-    found = log.join(state.withColumnRenamed("locator", "keep_locator"), "digest").withColumn("kept", F.col("locator") == F.col("keep_locator"))
+    found = log.join(state.select("digest", "keep_id", F.col("locator").alias("keep_locator"), "n"), "digest").withColumn("kept", F.col("locator") == F.col("keep_locator"))
     hits = state.filter("n > 1")
     n_hits = hits.count()
     if not n_hits:
@@ -100,9 +101,11 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         keyed = keyed.withColumn("k", F.xxhash64("digest")).join(F.broadcast(hits.select(F.xxhash64("digest").alias("k")).distinct()), "k", "left_semi")
     # members are dealt over copies of their representative's text, a copy for each few hundred
     copies = F.ceil(F.col("n") / MEMBERS_A_COPY)
-    members = keyed.join(hits.select("digest", "keep_id", "n"), "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), copies))
-    members = scratch.write(members.select("digest", "doc_id", "keep_id", "t", "n", "salt"), "members")
-    first = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("t").alias("first_t"), F.max("n").alias("m"))
+    members = keyed.join(hits.select("digest", "keep_id", "keep_hash", "n"), "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_hash"), copies))
+    named = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash"))
+    members = scratch.write(members.select("digest", named.alias("named"), "t", "n", "salt"), "members")
+    # the text that the locator names
+    first = members.filter("named").groupBy("digest").agg(F.min("t").alias("first_t"), F.max("n").alias("m"))
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / MEMBERS_A_COPY) - 1))).drop("m")
     bad = members.join(first, ["digest", "salt"]).filter(F.col("t") != F.col("first_t")).select("digest").distinct()
     bad = scratch.write(bad, "bad")
