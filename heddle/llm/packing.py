@@ -38,8 +38,10 @@ from .common import Scratch
 
 #: Chunks of text that a worker remembers; all are forgotten once there are more.
 CACHED = 400_000
-#: Pieces of one length that one task ranks.
-RANKED = 128
+#: Pieces of one length that one task ranks, and blocks of them that one task numbers.
+RANKED, NUMBERED = 128, 1024
+#: Rows of the plan that may be sent to every executor (24 bytes each); more are joined by a shuffle.
+MOST_SENT = 200_000
 NNLS_STEPS = 300
 #: Patterns that a plan repeats, those with the largest counts; best fit packs what is left.
 MOST_PATTERNS = 8192
@@ -58,6 +60,7 @@ class WordIds:
     def __init__(self, path: str, cached: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.cached, self.seen = Tokenizer.from_file(path), cached, {}
+        self.differed, self.renewed = 0, False
         self._rank(path)
         self.special = [t.content[:2] for t in self.tok.get_added_tokens_decoder().values()]
 
@@ -79,20 +82,26 @@ class WordIds:
             self.seen.clear()
             new = list(set(chunks))
         self._learn(new)
+        if self.renewed:
+            self.renewed = False
+            self._learn(list(set(chunks)))
         return b"".join(map(self.seen.__getitem__, chunks))
 
     def _learn(self, new: list[str]) -> None:
-        """Remember new chunks' ids: by ranked merges, a few of every batch checked against the library."""
+        """Remember new chunks' ids: by ranked merges, a few of every batch checked against the library.
+        Where one differs the library's ids are taken, from then on for all chunks."""
         one, ids = self.ranked.encode_single_piece, self.id_of
-        plain = [c for c in new if c.isascii() or _latin(c)]
+        plain = [c for c in new if c.isascii() or _latin(c)] if not self.differed else []
         for c in plain:
             self.seen[c] = b"".join([ids[i] for w in WORDS(c) for i in one(w.encode() + b"\xff")])
         probe = plain[:: 1 + len(plain) // 4]
         rest = [c for c in new if c not in self.seen]
         for c, e in zip(probe + rest, self.tok.encode_batch_fast(probe + rest, add_special_tokens=False), strict=True):
             own = np.asarray(e.ids, "<u4").tobytes()
-            if self.seen.setdefault(c, own) != own:
-                raise ValueError(f"ranked merges differ from the library for {c!r}")
+            self.differed += self.seen.setdefault(c, own) != own
+        if plain and self.differed:  # what was remembered so far is in doubt too
+            self.seen.clear()
+            self.renewed = True
 
     def _rank(self, path: str) -> None:
         """The same merges as tiktoken's ranks, which are several times faster for words not met before.
@@ -275,9 +284,14 @@ def pack(spark: SparkSession, cut: DataFrame, length: int = 2048) -> DataFrame:
     dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), many))
     own = Window.partitionBy("length", "block").orderBy("doc_id", "piece")
     sizes = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
-    ahead = sizes.withColumn("ahead", F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
+    # sums ahead of a block: of the blocks in its part, then of the parts before it, so that no task numbers all blocks of a length
+    before = lambda *by, order: F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    sizes = sizes.withColumn("part", F.floor(F.col("block") / NUMBERED))
+    parts = sizes.groupBy("length", "part").agg(F.sum("n").alias("n")).select("length", "part", before("length", order="part").alias("parts_ahead"))
+    ahead = sizes.withColumn("ahead", before("length", "part", order="block")).drop("n").join(parts, ["length", "part"])
+    ahead = ahead.select("length", "block", (F.col("ahead") + F.col("parts_ahead")).alias("ahead"))
     ranked = dealt.withColumn("nth", F.row_number().over(own) - 1).join(ahead, ["length", "block"]).withColumn("rank", F.col("ahead") + F.col("nth")).drop("ahead", "nth", "block")
-    found = ranked.join(F.broadcast(places), "length").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    found = ranked.join(F.broadcast(places) if len(runs) <= MOST_SENT else places, "length").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     step = F.col("rank") - F.col("lo")
     return found.withColumns({
         "sequence_id": F.col("first") + F.floor(step / F.col("each")),
