@@ -1,7 +1,8 @@
 """Operator 7: sharding by sampled splitters.
 
 Size-weighted key samples give quantile boundaries; records are range-partitioned
-into many small ranges, overfull ranges are subdivided with samples of their own,
+into many small ranges (at most MOST_RANGES, whose rows without texts grow beyond that),
+overfull ranges are subdivided with samples of their own as long as a boundary is found in them,
 and exact sums over the ranges place each record on one global line of bytes.
 Cutting that line into equal parts gives shards of nearly equal bytes.
 
@@ -20,6 +21,8 @@ side. A group of equal texts on a cut stays whole while it is at most
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +35,8 @@ RANGE_BYTES = 64 << 20
 LEAST_RANGES, MOST_RANGES = 512, 200_000
 #: Samples drawn for each range, in expectation.
 PER_RANGE = 24
+#: Samples that one task sums up.
+SAMPLED = 200_000
 
 
 def _unit(*cols: Column) -> Column:
@@ -39,17 +44,25 @@ def _unit(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit("sample")), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def _split(rows: DataFrame, total: float, pieces: int) -> list[tuple[int, int]]:
-    """Quantile boundaries of the key from a size-weighted sample of expected size pieces * PER_RANGE."""
+def _split(spark: SparkSession, scratch: Scratch, rows: DataFrame, total: float, pieces: int, name: str) -> list[tuple[int, int]]:
+    """Quantile boundaries of the key from a size-weighted sample of expected size pieces * PER_RANGE.
+    The sample is summed up in ranges on the executors; the boundaries alone, about `pieces`, come here."""
     take = F.col("weight") * F.lit(pieces * PER_RANGE / max(total, 1.0))
-    seen = rows.filter(_unit("h", "k") < take).select("h", "k", F.greatest(F.lit(1.0), take).alias("n")).collect()
-    seen.sort(key=lambda r: (r.h, r.k))
-    cuts, gone = [], 0.0
-    for r in seen:
-        if int((gone + r.n) / PER_RANGE) > int(gone / PER_RANGE):
-            cuts.append((r.h, r.k))
+    seen = rows.filter(_unit("h", "k") < take).select("h", "k", F.greatest(F.lit(1.0), take).alias("n"))
+    seen = seen.groupBy("h", "k").agg(F.sum("n").alias("n"))
+    if pieces * PER_RANGE > SAMPLED:
+        seen = seen.repartitionByRange(-(-pieces * PER_RANGE // SAMPLED), "h", "k").withColumn("part", F.spark_partition_id())
+    else:
+        seen = seen.withColumn("part", F.lit(0))
+    seen = scratch.write(seen, name)
+    gone, ahead = 0.0, []
+    for r in seen.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        ahead.append((r.part, gone))
         gone += r.n
-    return sorted(set(cuts))
+    line = Window.partitionBy("part").orderBy("h", "k").rowsBetween(Window.unboundedPreceding, 0)
+    summed = seen.withColumn("upto", F.sum("n").over(line)).join(spark.createDataFrame(ahead, "part int, ahead double"), "part").withColumn("upto", F.col("upto") + F.col("ahead"))
+    cuts = summed.filter(F.floor(F.col("upto") / PER_RANGE) > F.floor((F.col("upto") - F.col("n")) / PER_RANGE))
+    return sorted((r.h, r.k) for r in cuts.select("h", "k").collect())
 
 
 def _with_range(spark: SparkSession, rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
@@ -89,13 +102,13 @@ def shard_by_bytes(spark: SparkSession, docs: DataFrame, n_shards: int = 8, id_c
     # half of the weight is the record itself, so that ranges of short texts stay small too
     weighed = rows.withColumn("weight", F.col("size") + F.lit(total / n))
     pieces = min(MOST_RANGES, max(LEAST_RANGES, n_shards, total // RANGE_BYTES))
-    cuts = _split(weighed, 2.0 * total, pieces)
-    for _ in range(4):  # overfull ranges are subdivided with samples of their own
+    cuts = _split(spark, scratch, weighed, 2.0 * total, pieces, "sample")
+    for k in count():  # overfull ranges are subdivided with samples of their own, until none is left or it can't be
         ranged = _with_range(spark, weighed, cuts)
         full = ranged.groupBy("range").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).filter((F.col("w") > 6.0 * total / pieces) & (F.col("n") > 1000)).collect()
         if not full:
             break
-        more = _split(ranged.filter(F.col("range").isin([r.range for r in full])), sum(r.w for r in full), int(2 * sum(r.w for r in full) * pieces / total) + 1)
+        more = _split(spark, scratch, ranged.filter(F.col("range").isin([r.range for r in full])), sum(r.w for r in full), int(2 * sum(r.w for r in full) * pieces / total) + 1, f"sample{k}")
         if not set(more) - set(cuts):
             break
         cuts = sorted({*cuts, *more})
