@@ -21,7 +21,7 @@ def exact_groups(rows):
     by = defaultdict(list)
     for i, t in rows:
         by[SPACE.sub(" ", t or "")].append(i)
-    return {(i, k): (min(v), len(v)) for k, v in by.items() for i in v}
+    return {(i, k): (min(v, key=lambda x: (x is not None, x)), len(v)) for k, v in by.items() for i in v}
 
 
 def simhash(text, n=3):

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from heddle.llm import dedup_stream, hmm_lm, langid_zstd, nn_descent, packing, pii_feistel, piece_bpe, quality_kn, sharding, simhash_gray
@@ -236,6 +237,13 @@ def test_dedup_checks_bytes(spark, docs, rows):
     _check_dedup(dedup_stream.dedup(spark, docs, digest=lambda t: F.concat(F.lit("0"), F.substring(F.sha2(t, 256), 1, 1))), rows)
 
 
+def test_dedup_of_repeated_ids(spark):
+    """Unlike texts of one id that collide: the locator tells which of them a group's bytes are."""
+    rows = [(5, "b text"), (5, "a text"), (None, "a text"), (None, "c"), (7, "c"), (7, "b text"), (7, "b\ttext")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("named", F.lit(1)).withColumn("keep_hash", F.lit(2))
+    _check_dedup(dedup_stream.dedup(spark, df, digest=lambda t: F.lit("00")), rows)
+
+
 def test_dedup_hot_group(spark):
     rows = [(k, "the same text") for k in range(900)] + [(1000 + k, f"text {k}") for k in range(50)]
     _check_dedup(dedup_stream.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")), rows)
@@ -261,6 +269,39 @@ def test_langid(spark, empty):
     assert langid_zstd.identify(spark, empty, learned).count() == 0
 
 
+def test_langid_matches_plain_compression(spark):
+    """The smallest of the texts' sizes under each dictionary, ties to the language with more texts, then by name."""
+    rng = np.random.default_rng(26)
+    learned = [("bb", " ".join(rng.choice(WORDS, 900)).encode()), ("aa", " ".join(f"{w}q" for w in rng.choice(WORDS, 900)).encode()), ("tie", b"")]
+    learned.append(("same", learned[0][1]))
+    rows = [(k, prose(int(rng.integers(1, 3000)), rng)) for k in range(30)] + [(100, "½ ² 12"), (101, "ªº"), (102, "x"), (102, "x"), (103, "日"), (104, None)]
+    rows += [(200 + k, " ".join(f"{w}q" for w in rng.choice(WORDS, 40))) for k in range(10)]
+
+    def plain(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0, True
+        raw, sizes = text.lower().encode(), []
+        for _, content in learned:
+            d = zstandard.ZstdCompressionDict(content.ljust(8, b"\n"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=langid_zstd.LEVEL)
+            c = zstandard.ZstdCompressor(dict_data=d, level=langid_zstd.LEVEL, write_content_size=False)
+            sizes.append(sum(len(c.compress(raw[k : k + langid_zstd.CHUNK])) for k in range(0, len(raw), langid_zstd.CHUNK)))
+        least, next_ = sorted(sizes)[:2]
+        saved = (next_ - least) / next_
+        return learned[sizes.index(least)][0], min(1.0, saved / langid_zstd.FULL), saved < langid_zstd.NARROW
+
+    got = langid_zstd.identify(spark, spark.createDataFrame(rows, "doc_id long, text string"), learned).collect()
+    assert sorted((r.doc_id, r.lang_pred, r.score, r.rejected) for r in got) == sorted((i, *plain(t)) for i, t in rows)
+
+
+def test_langid_sample_of_repeated_rows(spark):
+    """Rows without ids and rows that are all alike give a bounded sample that isn't empty."""
+    rows = [(None, f"{prose(30)} {k}", "aa") for k in range(900)] + [(None, "the same words", "bb")] * 900 + [(7, "seven " * 20, "cc")] * 300
+    learned = dict(langid_zstd.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert learned["bb"] == b"the same words" and learned["cc"] == ("seven " * 20).encode()
+    assert 60 <= learned["aa"].count(b"\n") + 1 <= 220
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
@@ -432,6 +473,15 @@ def test_sharding_is_even_with_a_hot_text(spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
+def test_sharding_splits_samples_over_tasks(spark, monkeypatch):
+    """Boundaries from sums over several ranges of the sample are those of one."""
+    rng = np.random.default_rng(27)
+    df = spark.createDataFrame([(k, prose(int(rng.integers(1, 60)), rng)) for k in range(1500)], "doc_id long, text string")
+    want = sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_by_bytes(spark, df, 8).collect())
+    monkeypatch.setattr(sharding, "SAMPLED", 4000)
+    assert sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_by_bytes(spark, df, 8).collect()) == want
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
@@ -460,6 +510,24 @@ def test_packing(spark, docs, rows, empty):
     assert packing.pack(spark, packing.pieces(empty, path)).count() == 0
 
 
+def test_packing_takes_the_librarys_ids_where_merges_differ(rows):
+    own = packing.WordIds(packing.tokenizer_path())
+    own("some words first")
+    own.id_of = [*reversed(own.id_of)]
+    for _, t in rows[:20]:
+        assert own(t or "") == np.array(own.tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    assert own.differed
+
+
+def test_packing_numbers_many_blocks(spark, monkeypatch):
+    """Ranks over blocks and parts of them: each place is taken once."""
+    monkeypatch.setattr(packing, "RANKED", 3)
+    monkeypatch.setattr(packing, "NUMBERED", 4)
+    cut = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") % 5 == 0, 700).otherwise(300).cast("long").alias("length"))
+    got = packing.pack(spark, cut).collect()
+    assert len(got) == 500 and len({(r.sequence_id, r.offset) for r in got}) == 500
+
+
 def test_plan_holds_every_piece():
     rng = np.random.default_rng(14)
     for size, n in ((64, 500), (64, 200000), (2048, 3000)):
