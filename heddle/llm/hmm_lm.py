@@ -10,17 +10,18 @@ the probabilities of all texts add up to one.
 
 Baum-Welch runs over all training texts: each partition's forward and backward
 recursions give expected counts by state, which are summed by class over all
-partitions (at most OWN + ENDS classes, whatever the corpus). The exact likelihood
-of every text comes from the scaled forward recursion. Starting values only are
-fitted on a bounded sample, of about SEEDS training texts.
+partitions (at most OWN + ENDS classes, whatever the corpus). Rounds go on until the
+likelihood settles. The exact likelihood of every text comes from the scaled forward
+recursion. Starting values only are fitted on a bounded sample, of at most SEEDS unlike
+training texts; where there are fewer than states, they are the priors, perturbed.
 
 Texts travel once, as packs of word numbers; each pack gets the counts and classes
 of its own words by a join, and is then read from the shared folder in each round.
 
 Contract: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-* null and empty texts: the end alone. Very long texts: scored whole; for training,
-  a text of over PART tokens counts as consecutive parts.
+* null and empty texts: the end alone. Very long texts are scored and trained on whole;
+  the recursions of one of over PART tokens keep the states of one part at a time.
 * no training text: every class is unseen, N is 0, all words unknown; scores stay finite.
 * repeated rows count and are scored each; empty table: empty result. Other columns
   are ignored, whatever their names.
@@ -37,18 +38,20 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, trim
 
-STATES, ROUNDS = 8, 2
+STATES = 8
+#: Gain in log likelihood a token (nats) below which another round isn't made.
+SETTLED = 0.01
 OWN, ENDS = 1 << 16, 1 << 12
 #: Letters at a word's end that name a shared class.
 LETTERS = 3
 PACK_BYTES = 24 << 20
 SEEDS = 2000
-#: Sequences and padded tokens that one recursion holds; tokens of a training part.
+#: Sequences and padded tokens that one recursion holds; tokens of a part of a long one.
 WIDE, PADDED, PART = 512, 1 << 19, 1 << 16
 STAY, SMOOTH = 0.9, 200.0
 CLASSES = OWN + ENDS
@@ -216,6 +219,41 @@ def expected(model: Model, k: np.ndarray, first: np.ndarray, size: np.ndarray, c
     return float(ll.sum())
 
 
+def expected_long(model: Model, k: np.ndarray, counts: np.ndarray, moves: np.ndarray, starts: np.ndarray, part: int) -> float:
+    """The same for one long sequence: forward to find what each part follows on, then back through the parts."""
+
+    def run(x, a):
+        states, scales = np.empty((len(x), STATES)), np.empty(len(x))
+        for t, c in enumerate(x):
+            a = (model.start if a is None else a @ model.move) * model.emit[c]
+            scales[t] = a.sum()
+            a = states[t] = a / scales[t]
+        return states, scales
+
+    heads, a, ll = [], None, 0.0
+    for lo in range(0, len(k), part):
+        heads.append((lo, a))
+        states, scales = run(k[lo : lo + part], a)
+        a, ll = states[-1].copy(), ll + float(np.log(scales).sum())
+    back = np.ones(STATES)
+    for lo, head in reversed(heads):
+        x = k[lo : lo + part]
+        states, scales = run(x, head)
+        own = np.empty_like(states)
+        for t in range(len(x) - 1, -1, -1):
+            own[t] = states[t] * back
+            w = model.emit[x[t]] * back / scales[t]
+            before = states[t - 1] if t else head
+            if before is not None:
+                moves += np.outer(before, w)
+                back = model.move @ w
+        for s in range(STATES):
+            counts[:, s] += np.bincount(x, own[:, s], CLASSES)
+        if head is None:
+            starts += own[0]
+    return ll
+
+
 def _open(blob: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
@@ -235,10 +273,9 @@ def _baum_welch(shared, batches):
             k = model.of_words(c, own, ending)[0][tokens]
             first = np.cumsum(size) - size
             first, size = first[~held], size[~held]
-            if (size > PART).any():  # parts of very long texts
-                cut = -(-size // PART)
-                nth = np.arange(cut.sum()) - np.repeat(np.cumsum(cut) - cut, cut)
-                first, size = np.repeat(first, cut) + nth * PART, np.minimum(PART, np.repeat(size, cut) - nth * PART)
+            for f, n in zip(first[size > PART], size[size > PART], strict=True):
+                ll += expected_long(model, k[f : f + n], counts, moves, starts, PART)
+            first, size = first[size <= PART], size[size <= PART]
             for g in _groups(size):
                 ll += expected(model, k, first[g], size[g], counts, moves, starts)
     trim()
@@ -250,24 +287,24 @@ def _baum_welch(shared, batches):
 
 
 def _drawn(shared, share, batches):
-    """Classes and their counts of a share of the training texts."""
+    """Classes and their counts of a share of the training texts, by a hash of id and classes, and of each pack's first by it."""
     model: Model = shared.value
-    out: list = []
     for b in batches:
         for blob in b.column(b.schema.get_field_index("blob")):
             ids, held, size, tokens, c, own, ending = _open(blob.as_py())
-            k, first = model.of_words(c, own, ending)[0][tokens].astype(np.int32), np.cumsum(size) - size
-            for i, h, n, f in zip(ids.tolist(), held.tolist(), size.tolist(), first.tolist(), strict=True):
-                if not h and n <= 5000 and zlib.crc32(f"seed {i}".encode()) < share * 2**32:
-                    at, many = np.unique(k[f : f + n], return_counts=True)
-                    out.append((zlib.crc32(f"seed {i}".encode()), at.astype("<i4").tobytes(), many.astype("<i4").tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["draw", "at", "many"])
+            k, first = model.of_words(c, own, ending)[0][tokens].astype("<i4"), np.cumsum(size) - size
+            rows = [(zlib.crc32(k[f : f + n].tobytes(), zlib.crc32(f"seed {i}".encode())), f, n) for i, h, n, f in zip(ids.tolist(), held.tolist(), size.tolist(), first.tolist(), strict=True) if not h]
+            least = min(rows)[0] if rows else 0
+            out = [(d, *np.unique(k[f : f + n], return_counts=True)) for d, f, n in rows if d < share * 2**32 or d == least]
+            cols = [o[0] for o in out], [o[1].astype("<i4").tobytes() for o in out], [o[2].astype("<i4").tobytes() for o in out]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["draw", "at", "many"])
 
 
-def seeded(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray | None:
-    """Counts by class and state of a bounded sample, by k-means over its texts' root frequencies."""
+def seeded(rows: list[tuple[np.ndarray, np.ndarray]], prior: np.ndarray) -> np.ndarray:
+    """Counts by class and state of a bounded sample, by k-means over its texts' root
+    frequencies; of fewer texts than states, the priors times fixed random numbers."""
     if len(rows) < STATES:
-        return None
+        return 1e4 * prior[:, None] * np.random.default_rng(0).uniform(0.5, 1.5, (CLASSES, STATES))
     dense = np.zeros(CLASSES)
     for at, many in rows:
         dense[at] += many
@@ -324,14 +361,15 @@ def train(spark: SparkSession, scratch: Scratch, docs: DataFrame, id_col: str =
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_packed, "pack long, local int, word binary, n long, blob binary")
     rows = scratch.write(rows, "packs")
     words = rows.filter("local IS NOT NULL").select("pack", "local", "word", "n")
-    same = Window.partitionBy("word")
-    counted = words.select(
-        "pack", "local", F.sum("n").over(same).alias("c"), (F.min("pack").over(same) == F.col("pack")).alias("first"),
+    # sums of a word are partial in every task, so a common word is a row of each; the join is one that adaptive execution splits
+    totals = words.groupBy("word").agg(F.sum("n").alias("c")).select(
+        "word", "c",
         F.pmod(F.xxhash64("word"), F.lit(OWN)).cast("int").alias("own"),
         F.pmod(F.xxhash64(F.substring("word", -LETTERS, LETTERS)), F.lit(ENDS)).cast("int").alias("ending"),
     )
-    counted = scratch.write(counted, "counted")
-    kinds = counted.filter("first AND c > 0")
+    totals = scratch.write(totals, "totals")
+    counted = scratch.write(words.select("pack", "local", "word").join(totals, "word").drop("word"), "counted")
+    kinds = totals.filter("c > 0")
     tokens, types = (int(x or 0) for x in kinds.agg(F.sum("c"), F.count("*")).first())
     often = F.col("c") * OWN > tokens
     cls = kinds.groupBy(F.when(often, F.col("own")).otherwise(F.col("ending") + OWN).alias("k")).agg(
@@ -340,27 +378,29 @@ def train(spark: SparkSession, scratch: Scratch, docs: DataFrame, id_col: str =
     model = Model(tokens, types, cls.toPandas().to_numpy(float))  # at most CLASSES rows
     packs = rows.filter("blob IS NOT NULL").select("pack", "blob").groupBy("pack").cogroup(counted.select("pack", "local", "c", "own", "ending").groupBy("pack")).applyInArrow(_encoded, "pack long, blob binary")
     packs = scratch.write(packs, "encoded", "uncompressed")
-    scratch.drop("packs")
-    scratch.drop("counted")
+    for name in ("packs", "counted", "totals"):
+        scratch.drop(name)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # from here on a row is a whole pack
     texts = docs.count()
     shared = spark.sparkContext.broadcast(model)
-    share = min(1.0, SEEDS / max(1, texts))
-    sample = packs.mapInArrow(lambda b: _drawn(shared, share, b), "draw long, at binary, many binary").toPandas()
-    sample = sample.sort_values("draw", kind="stable")
-    seeds = seeded([(np.frombuffer(a, "<i4"), np.frombuffer(m, "<i4")) for a, m in zip(sample["at"], sample["many"], strict=True)])
-    if seeds is not None:
-        model.learn(seeds)
-        for _ in range(ROUNDS):
-            shared = spark.sparkContext.broadcast(model)
-            sums = packs.mapInArrow(lambda b, s=shared: _baum_welch(s, b), "key long, " + ", ".join(f"{n} double" for n in _names()))
-            found = sums.groupBy("key").agg(*(F.sum(n).alias(n) for n in _names())).toPandas()  # at most CLASSES + STATES + 2 rows
-            key, value = found["key"].to_numpy(), found[_names()].to_numpy(float)
-            counts = np.zeros((CLASSES, STATES))
-            counts[key[key >= 0]] = value[key >= 0]
-            by = {int(k): v for k, v in zip(key[key < 0], value[key < 0], strict=True)}
-            if by:
-                model.learn(counts, np.stack([by[-1 - s] for s in range(STATES)]), by[-STATES - 1])
+    share = min(1.0, 4 * SEEDS / max(1, texts))
+    sample = packs.mapInArrow(lambda b: _drawn(shared, share, b), "draw long, at binary, many binary").distinct().orderBy("draw", "at", "many").limit(SEEDS).toPandas()
+    if not len(sample):
+        return model, packs
+    model.learn(seeded([(np.frombuffer(a, "<i4"), np.frombuffer(m, "<i4")) for a, m in zip(sample["at"], sample["many"], strict=True)], model.prior))
+    reached = -np.inf
+    while True:
+        shared = spark.sparkContext.broadcast(model)
+        sums = packs.mapInArrow(lambda b, s=shared: _baum_welch(s, b), "key long, " + ", ".join(f"{n} double" for n in _names()))
+        found = sums.groupBy("key").agg(*(F.sum(n).alias(n) for n in _names())).toPandas()  # at most CLASSES + STATES + 2 rows
+        key, value = found["key"].to_numpy(), found[_names()].to_numpy(float)
+        counts = np.zeros((CLASSES, STATES))
+        counts[key[key >= 0]] = value[key >= 0]
+        by = {int(k): v for k, v in zip(key[key < 0], value[key < 0], strict=True)}
+        model.learn(counts, np.stack([by[-1 - s] for s in range(STATES)]), by[-STATES - 1])
+        before, reached = reached, by[-STATES - 2][0] / tokens
+        if reached - before < SETTLED:
+            break
     return model, packs
 
 

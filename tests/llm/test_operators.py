@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,6 +160,42 @@ def test_hmm(spark, docs, rows, empty):
     assert hmm_lm.score(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("many", [40, 4])
+def test_hmm_scores_whole_texts(spark, monkeypatch, many):
+    """The query's score by a plain forward recursion; few texts train states that differ, too."""
+    monkeypatch.setattr(hmm_lm, "PART", 50)
+    rng = np.random.default_rng(28)
+    rows = [(k, prose(int(rng.integers(0, 30)), rng)) for k in range(many)] + [(900, None), (901, " ".join(rng.choice(WORDS, 130))), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from heddle.llm.common import Scratch
+
+    model, _ = hmm_lm.train(spark, Scratch(spark), df)
+    assert model.emit.std(1).max() > 0 and not np.allclose(model.move, model.move[0])
+    seqs = [[*brute.tokens(t), b""] for _, t in rows]
+    counts = Counter(w for (i, _), s in zip(rows, seqs, strict=True) if zlib.crc32(str(i).encode()) % 7 != 2 for w in s)
+    words = sorted({w for s in seqs for w in s})
+    table = spark.createDataFrame([(bytearray(w),) for w in words], "w binary").select("w", F.pmod(F.xxhash64("w"), F.lit(hmm_lm.OWN)).alias("own"), F.pmod(F.xxhash64(F.substring("w", -hmm_lm.LETTERS, hmm_lm.LETTERS)), F.lit(hmm_lm.ENDS)).alias("ending"))
+    place = {bytes(r.w): (r.own, r.ending) for r in table.collect()}
+    k, lw = model.of_words(np.array([counts[w] for w in words]), *(np.array([place[w][x] for w in words]) for x in (0, 1)))
+    at = {w: n for n, w in enumerate(words)}
+    want = sorted((i, (brute.forward(model.start, model.move, model.emit, [k[at[w]] for w in s]) + sum(lw[at[w]] for w in s)) / math.log(10)) for (i, _), s in zip(rows, seqs, strict=True))
+    got = sorted((r.doc_id, r.score) for r in hmm_lm.score(spark, df).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-5)
+
+
+def test_hmm_long_sequences_part_by_part():
+    rng = np.random.default_rng(29)
+    m = hmm_lm.Model(450, 36, np.array([[k, 50, 4, 1, 1] for k in range(9)], float))
+    m.learn(rng.random((hmm_lm.CLASSES, hmm_lm.STATES)) * 50 * (np.arange(hmm_lm.CLASSES) < 9)[:, None], rng.random((hmm_lm.STATES,) * 2) * 9, rng.random(hmm_lm.STATES))
+    k = rng.integers(0, 9, 100)
+    sums = lambda: (np.zeros((hmm_lm.CLASSES, hmm_lm.STATES)), np.zeros((hmm_lm.STATES,) * 2), np.zeros(hmm_lm.STATES))
+    whole, parts = sums(), sums()
+    ll = hmm_lm.expected(m, k, np.array([0]), np.array([100]), *whole)
+    assert hmm_lm.expected_long(m, k, *parts, 7) == pytest.approx(ll, rel=1e-5) == pytest.approx(brute.forward(m.start, m.move, m.emit, k), rel=1e-5)
+    for a, b in zip(whole, parts, strict=True):
+        assert b == pytest.approx(a, rel=1e-3, abs=1e-4)
+
+
 def test_hmm_recursions(monkeypatch):
     rng = np.random.default_rng(1)
     classes = np.array([[k, 50, 4, 1, 1] for k in range(9)], float)
