@@ -1,7 +1,7 @@
 """Graphs as edge tables (src, dst): degrees, PageRank, components, contraction, relabelling.
 
 Loops cut their lineage with checkpoint() in the folder that the session names in
-spark.checkpoint.dir; where none is named, one is made, as in local tests.
+spark.checkpoint.dir; where none is named and all runs in one process, one is made.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ EVERY = 3
 def _kept(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="heddle-graph-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heddle-graph-"))
     return df.checkpoint()
 
 
@@ -108,8 +111,13 @@ def contract(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return edges
 
 
-def relabel(nodes: DataFrame, partitions: int = 64) -> DataFrame:
+#: Nodes that one task numbers.
+NUMBERED = 1_000_000
+
+
+def relabel(nodes: DataFrame, partitions: int | None = None) -> DataFrame:
     """id, label: 0 .. n-1 by rising id, numbered within ranges and then over them."""
+    partitions = partitions or -(-nodes.count() // NUMBERED) or 1
     ranged = nodes.select("id").repartitionByRange(partitions, "id").withColumn("part", F.spark_partition_id())
     ranged = _kept(ranged)
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))

@@ -1,7 +1,7 @@
 """Matrices as relations (i, j, v): products in three forms, and what goes with them.
 
 sparse: join on the shared index and sum. dense and blocked: cells are gathered into
-square NumPy blocks, matching blocks meet by a join, and their products are summed;
+square NumPy blocks, matching blocks meet by a join, and their products are summed as blocks;
 blocked uses smaller blocks, for products that outgrow a task. All give the same
 rows: one for each pair of outer indexes that the join would give, zero sums included.
 """
@@ -9,7 +9,7 @@ rows: one for each pair of outer indexes that the join would give, zero sums inc
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,31 +62,44 @@ def _sparse(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _blocks(m: DataFrame, size: int, row: str, col: str) -> DataFrame:
-    """Cells by block: _r and _c number it, cells hold (place, value) in it."""
+    """Cells by block: _r and _c number it, two arrays hold the cells' places in it and their values."""
     r, c = (F.floor(F.col(x) / size).cast("long") for x in "ij")
     place = F.pmod(F.col("i"), F.lit(size)) * size + F.pmod(F.col("j"), F.lit(size))
-    return m.groupBy(r.alias(row), c.alias(col)).agg(F.collect_list(F.struct(place.cast("int").alias("p"), F.col("v").cast("double").alias("v"))).alias(f"{row}{col}"))
+    cells = F.collect_list(F.struct(place.cast("int").alias("p"), F.col("v").cast("double").alias("v")))
+    return m.groupBy(r.alias(row), c.alias(col)).agg(cells.alias("cells")).select(row, col, F.col("cells.p").alias(f"p{row}{col}"), F.col("cells.v").alias(f"v{row}{col}"))
 
 
 def _blocked(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
-    """A block holds at most size * size cells, so the lists are bounded."""
+    """Pairs of blocks meet on the inner index and go to the task of the block of the product that
+    they add to, where one block is summed up at a time; each cell of the product is a row once.
+    A block holds at most size * size cells, so the arrays are bounded."""
+
+    def cells(r, c, product, pairs):
+        i, j = np.nonzero(pairs > 0.5)  # cells that some pair of entries reaches
+        return pa.RecordBatch.from_arrays([pa.array(r * size + i), pa.array(c * size + j), pa.array(product[i, j])], ["i", "j", "v"])
 
     def multiply(batches):
-        for p in batches:
-            out = []
-            for r, c, left, right in zip(p["r"], p["c"], p["rk"], p["kc"], strict=True):
-                x, y, there, too = (np.zeros((size, size)) for _ in range(4))
-                for cells, m, has in ((left, x, there), (right, y, too)):
-                    at = np.fromiter((d["p"] for d in cells), np.int64, len(cells))
-                    m.flat[at] = np.fromiter((d["v"] for d in cells), float, len(cells))
-                    has.flat[at] = 1
-                product, pairs = x @ y, there @ too
-                i, j = np.nonzero(pairs > 0.5)  # cells that some pair of entries reaches
-                out.append(pd.DataFrame({"i": r * size + i, "j": c * size + j, "v": product[i, j]}))
-            yield pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "v": []}).astype({"i": "int64", "j": "int64"})
-
-    met = _blocks(a, size, "r", "k").join(_blocks(b, size, "k", "c"), "k").select("r", "c", "rk", "kc")
-    return met.mapInPandas(multiply, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+        at, product, pairs = None, None, None
+        for batch in batches:
+            rows, numbers = batch.num_rows, [batch.column(k).to_numpy() for k in range(2)]
+            for n in range(rows):
+                own = int(numbers[0][n]), int(numbers[1][n])
+                if own != at:
+                    if at is not None:
+                        yield cells(*at, product, pairs)
+                    at, product, pairs = own, np.zeros((size, size)), np.zeros((size, size))
+                full, there = np.zeros((2, size * size)), np.zeros((2, size * size))
+                for side in range(2):
+                    place, value = (batch.column(2 + 2 * side + k)[n].values.to_numpy() for k in range(2))
+                    full[side, place], there[side, place] = value, 1
+                x, y, has, too = (m.reshape(size, size) for m in (*full, *there))
+                product += x @ y
+                pairs += has @ too
+        if at is not None:
+            yield cells(*at, product, pairs)
+
+    met = _blocks(a, size, "r", "k").join(_blocks(b, size, "k", "c"), "k").select("r", "c", "prk", "vrk", "pkc", "vkc")
+    return met.repartition("r", "c").sortWithinPartitions("r", "c").mapInArrow(multiply, "i long, j long, v double")
 
 
 def matmul(a: DataFrame, b: DataFrame, strategy: str = "auto", block: int | None = None) -> DataFrame:

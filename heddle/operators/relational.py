@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes up to which a dimension is sent to every executor.
@@ -47,3 +47,15 @@ def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end:
     wide = spans.filter(F.col(start) < F.col(end)).withColumn("_cell", F.explode(F.sequence(cell(start), last)))
     near = points.withColumn("_cell", cell(at)).join(wide, "_cell")
     return near.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_cell")
+
+
+def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, columns: Sequence[str]) -> DataFrame:
+    """left with columns of the row of right that has the same key and the largest `at` up to its own,
+    or nulls. Both sides lie in one line by key and time, so that no pairs are made."""
+    rows = left.withColumn("_own", F.struct(*left.columns)).select(key, at, "_own", F.lit(None).cast(right.select(F.struct(*columns).alias("x")).schema["x"].dataType).alias("_of"))
+    of = right.select(key, at, F.lit(None).cast(rows.schema["_own"].dataType).alias("_own"), F.struct(*columns).alias("_of"))
+    # at equal times the right side comes first, so that it counts
+    line = Window.partitionBy(key).orderBy(at, F.col("_own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.union(of).withColumn("_of", F.last("_of", True).over(line)).filter(F.col("_own").isNotNull())
+    seen = F.col(f"_own.{key}").isNotNull()  # a null key matches nothing
+    return found.select("_own.*", *[F.when(seen, F.col(f"_of.{c}")).alias(f"of_{c}") for c in columns])

@@ -75,7 +75,7 @@ _sql("filter_is_null", "SELECT c.c_custkey, o.o_orderkey IS NULL AS without_orde
 _sql("filter_col_vs_col", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey < l_suppkey OR l_discount > l_tax")
 _sql("filter_any_all", "SELECT p_partkey FROM part WHERE p_retailprice >= (SELECT MAX(p_retailprice) FROM part) OR p_size < (SELECT MIN(s_nationkey) + 3 FROM supplier)")
 _sql("filter_regexp", "SELECT p_partkey, p_brand FROM part WHERE REGEXP_LIKE(p_brand, '^Brand#[12][0-9]*$')", "SELECT p_partkey, p_brand FROM part WHERE regexp_matches(p_brand, '^Brand#[12][0-9]*$')")
-_sql("filter_nan", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE isnan(CAST(l_quantity AS DOUBLE)) OR l_quantity = 1")
+_sql("filter_nan", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE isnan(CAST(CASE WHEN l_linenumber = 3 THEN 'NaN' ELSE '1' END AS DOUBLE)) AND NOT isnan(CAST(l_quantity AS DOUBLE))")
 _sql("select_star", "SELECT * FROM nation")
 _sql("select_qualified_star", "SELECT n.* FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND r.r_name <> 'ASIA'")
 _sql("project_arith", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge, -l_quantity AS minus_quantity, (l_quantity + 1) - 2 AS shifted, l_extendedprice / l_quantity AS unit FROM lineitem")
@@ -86,6 +86,10 @@ _sql(
 _sql("project_concat_pow", "SELECT n_nationkey, n_name || '/' || n_regionkey AS path, CAST(POWER(n_nationkey, 2) AS DOUBLE) AS squared FROM nation")
 _sql("project_safe_divide", "SELECT l_orderkey, l_linenumber, l_extendedprice / NULLIF(l_tax, 0) AS ratio FROM lineitem")
 
+_sql("project_strings", "SELECT p_partkey, UPPER(p_name) AS loud, LENGTH(p_name) AS n, SUBSTRING(p_brand, 7, 2) AS number, REPLACE(p_type, ' ', '_') AS type, TRIM(CONCAT(' ', p_brand, ' ')) AS brand, LPAD(CAST(p_size AS VARCHAR(9)), 4, '0') AS padded FROM part")
+_sql("project_math", "SELECT o_orderkey, ABS(o_totalprice - 100000) AS off, CAST(FLOOR(o_totalprice / 1000) AS BIGINT) AS thousands, ROUND(SQRT(o_totalprice), 6) AS root, ROUND(LN(o_totalprice), 6) AS log, GREATEST(o_custkey, o_orderkey) AS top FROM orders")
+_sql("project_json", "SELECT event_id, GET_JSON_OBJECT(props, '$.k') AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+
 # Joins --------------------------------------------------------------------------------------------
 
 _sql("join_inner_2way", "SELECT o.o_totalprice, l.l_quantity FROM orders o, lineitem l WHERE o.o_orderkey = l.l_orderkey")
@@ -100,7 +104,7 @@ _sql("join_composite", "SELECT a.l_orderkey, a.l_linenumber, b.n FROM lineitem a
 _sql("join_theta", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey < r.r_regionkey AND n.n_nationkey > 3 * r.r_regionkey")
 _sql("join_self", "SELECT a.n_name AS n_name, b.n_name AS neighbour FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
 _sql("join_semi", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O')")
-_sql("join_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+_sql("join_anti", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' AND o.o_totalprice > 200000)")
 _sql("join_multiway", "SELECT l.l_orderkey, l.l_linenumber, c.c_name, n.n_name, r.r_name FROM lineitem l, orders o, customer c, nation n, region r WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = n.n_nationkey AND n.n_regionkey = r.r_regionkey AND l.l_quantity > 49")
 
 
@@ -142,6 +146,13 @@ def join_interval(spark: SparkSession, folder: str) -> DataFrame:
     return relational.interval_join(part, spans, "p_retailprice", "lo", "hi", 250.0).select("r_regionkey", "p_partkey", "p_retailprice")
 
 
+@_built("SELECT a.o_orderkey, a.o_custkey, b.o_orderkey AS of_o_orderkey, b.o_totalprice AS of_o_totalprice FROM orders a ASOF LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') b ON a.o_custkey = b.o_custkey AND a.o_orderkey >= b.o_orderkey")
+def join_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order with its customer's last finished one up to it."""
+    (orders,) = _read(spark, folder, "orders")
+    return relational.as_of_join(orders.select("o_orderkey", "o_custkey"), orders.filter("o_orderstatus = 'F'"), "o_custkey", "o_orderkey", ["o_orderkey", "o_totalprice"])
+
+
 # Aggregates ---------------------------------------------------------------------------------------
 
 _sql("agg_sum", f"SELECT l_returnflag, l_linestatus, {_money('l_quantity')} AS sum_qty, {_money('l_extendedprice')} AS sum_price FROM lineitem GROUP BY l_returnflag, l_linestatus")
@@ -158,6 +169,7 @@ _sql("agg_rollup", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineit
 _sql("agg_cube", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 _sql("agg_grouping_sets", "SELECT p_brand, p_type, COUNT(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), ())")
 _sql("distinct", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+_sql("agg_percentile", "SELECT l_returnflag, ROUND(PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY l_extendedprice), 6) AS middle, ROUND(PERCENTILE_CONT(0.9) WITHIN GROUP (ORDER BY l_quantity), 6) AS high FROM lineitem GROUP BY l_returnflag")
 _sql("agg_statistics", "SELECT p_type, ROUND(STDDEV_SAMP(p_retailprice), 4) AS deviation, ROUND(VAR_POP(p_retailprice), 3) AS variance FROM part GROUP BY p_type")
 
 
@@ -245,7 +257,7 @@ _sql("top_k_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_tot
 _sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier")
 _sql("union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier")
 _sql("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier")
-_sql("except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 25")
+_sql("except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1")
 _sql("from_subquery", "SELECT t.c_nationkey, t.n FROM (SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey) t WHERE t.n > 3")
 _sql("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) * 1.5 FROM orders)")
 _sql("correlated_subquery", "SELECT o_orderkey FROM orders o WHERE o_totalprice >= (SELECT MAX(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
@@ -323,12 +335,17 @@ def matrix_extent(spark: SparkSession, folder: str) -> DataFrame:
     return matrix.extent(matrix.coo(*_read(spark, folder, "lineitem"), "l_suppkey", "l_linenumber", F.col("l_quantity").cast("long")))
 
 
-@_built("SELECT 'dense' AS strategy")
+_JOINS = [("nation", "region", "n_regionkey", "r_regionkey"), ("supplier", "customer", "s_nationkey", "c_nationkey"), ("lineitem", "orders", "l_orderkey", "o_orderkey")]
+
+
+@_built(" UNION ALL ".join(f"SELECT '{a}' AS one, CASE WHEN COUNT(DISTINCT k) < 4096 THEN 'dense' ELSE 'sparse' END AS strategy FROM (SELECT {x} AS k FROM {a} UNION ALL SELECT {y} FROM {b})" for a, b, x, y in _JOINS))
 def strategy_choice(spark: SparkSession, folder: str) -> DataFrame:
-    """The form that the chooser takes for a small key domain."""
-    nation, region = _read(spark, folder, "nation", "region")
-    s = tables.join_key_stats(nation, region, "n_regionkey", "r_regionkey").first()
-    return spark.createDataFrame([(strategy.choose(s.n_distinct, s.mean_rows, False).strategy,)], "strategy string")
+    """The form that the chooser takes for key domains of several sizes."""
+    found = []
+    for a, b, x, y in _JOINS:
+        s = tables.join_key_stats(*_read(spark, folder, a, b), x, y).first()
+        found.append((a, strategy.choose(s.n_distinct, s.mean_rows, False).strategy))
+    return spark.createDataFrame(found, "one string, strategy string")
 
 
 # Graphs -------------------------------------------------------------------------------------------
