@@ -17,17 +17,19 @@ precision, and stops when its best nodes, as many as a list holds, have all been
 Contract: query_id, rank, vec_id, score; a query's nearest by inner product, ties to
 the smaller id. Recall against brute force is measured in the tests.
 
-* vectors that are null, zero or hold null or non-finite components take no part,
-  nor do those whose length isn't the most common one.
+* vectors that are null, zero or hold null or non-finite components take no part;
+  vectors of one length are searched among themselves. Doubles are scored as doubles.
 * equal vectors are one node; the smallest ids among the copies are found with it.
-* repeated ids: rows of one id and vector count once. Empty table: empty result.
-  Other columns are ignored, whatever their names.
+* repeated ids: rows of one id and vector count once; of one id and unlike vectors each is
+  searched and found by itself, and the id's ranks are over all that its rows find.
+* Empty table: empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+from functools import reduce
 from itertools import count
 from typing import NamedTuple
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, settings
 
 #: Lists that still change, as a share, to end.
 SETTLED = 0.02
@@ -107,13 +109,13 @@ def _once(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # A block's body: ids (rising), vectors, 8-bit vectors and scales, neighbours (-1: none), nearness, new.
 def _fresh(near: int, key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     ids = table["id"].to_numpy()
-    vec = np.stack([np.asarray(v, np.float32) for v in table["vec"].to_numpy()])
+    vec = np.stack([np.asarray(v) for v in table["vec"].to_numpy()])
     order = np.argsort(ids)
     ids, vec = ids[order], vec[order]
-    scale = (np.abs(vec).max(1) / 127).astype(np.float32)
+    scale = np.abs(vec).max(1) / vec.dtype.type(127)
     small = np.rint(vec / scale[:, None]).astype(np.int8)
     n = len(ids)
-    body = ids, vec, small, scale, np.full((n, near), -1, np.int64), np.full((n, near), -np.inf, np.float32), np.zeros((n, near), bool)
+    body = ids, vec, small, scale, np.full((n, near), -1, np.int64), np.full((n, near), -np.inf, vec.dtype), np.zeros((n, near), bool)
     return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([pickle.dumps(body, 5)], pa.binary()), "changed": pa.array([n * near], pa.int64())})
 
 
@@ -124,7 +126,7 @@ def _beside(blocks: int, most: int, batches):
         return
     table = pa.concat_tables(rows)
     ids = table["id"].to_numpy()
-    vec = np.stack([np.asarray(v, np.float32) for v in table["vec"].to_numpy()])
+    vec = np.stack([np.asarray(v) for v in table["vec"].to_numpy()])
     n = len(ids)
     for lo in range(0, n, SIDE):
         lo = max(0, min(lo, n - SIDE))
@@ -177,7 +179,7 @@ def _compared(blocks: int, offers: int, most: int):
             wide = int(n.max())
             at = f[:, None] + np.minimum(np.arange(wide)[None], n[:, None] - 1)
             real = np.arange(wide)[None] < n[:, None]
-            x = vec[at].astype(np.float32) * scale[at][..., None]
+            x = vec[at].astype(scale.dtype) * scale[at][..., None]
             near = x @ x.transpose(0, 2, 1)
             ok = (new[at][:, :, None] | new[at][:, None, :]) & real[:, :, None] & real[:, None, :]
             ok &= near > last[at][:, :, None]
@@ -232,13 +234,13 @@ GRAPH = MESSAGE + ", changed long"
 
 def build(spark: SparkSession, scratch: Scratch, nodes: DataFrame, blocks: int, effort: Effort) -> DataFrame:
     """The graph's blocks, from a table of id and vec."""
-    dim, n = len(nodes.first().vec), nodes.count()
+    dim, n, kind = len(nodes.first().vec), nodes.count(), dict(nodes.dtypes)["vec"]
 
     def with_block(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_block(b.column(0).to_numpy(), blocks)), *b.columns], ["block", "id", "vec"])
 
-    dealt = nodes.mapInArrow(with_block, "block long, id long, vec array<float>")
+    dealt = nodes.mapInArrow(with_block, f"block long, id long, vec {kind}")
     graph = scratch.write(dealt.groupBy("block").applyInArrow(lambda key, table: _fresh(effort.near, key, table), GRAPH), "graph0", "uncompressed")
     for p in range(effort.projections):
         way = np.random.default_rng(p).standard_normal(dim)
@@ -248,7 +250,7 @@ def build(spark: SparkSession, scratch: Scratch, nodes: DataFrame, blocks: int,
                 x = np.stack([np.asarray(v, float) for v in b.column(1).to_numpy(zero_copy_only=False)]) if b.num_rows else np.zeros((0, dim))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x @ way)], ["id", "vec", "p"])
 
-        lined = nodes.mapInArrow(project, "id long, vec array<float>, p double").repartitionByRange(blocks, "p").sortWithinPartitions("p", "id").select("id", "vec")
+        lined = nodes.mapInArrow(project, f"id long, vec {kind}, p double").repartitionByRange(blocks, "p").sortWithinPartitions("p", "id").select("id", "vec")
         offers = lined.mapInArrow(lambda b: _beside(blocks, effort.near, b), MESSAGE)
         graph = _next(scratch, graph, offers, f"start{p}", "graph0" if not p else f"start{p - 1}")
     # nothing has been compared through the graph yet
@@ -421,17 +423,20 @@ def usable(vec: Column) -> Column:
 
 def nearest(spark: SparkSession, rows: DataFrame, is_query: Column, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query row's nearest other rows."""
+    kind = "float" if dict(rows.dtypes)[vec_col] == "array<float>" else "double"
+    clean = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: (x + F.lit(0.0)).cast(kind)).alias("vec"), is_query.alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
+    each = [_nearest(spark, clean.filter(F.size("vec") == r.n).distinct(), top) for r in clean.select(F.size("vec").alias("n")).distinct().orderBy("n").collect()]
+    if not each:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = each[0] if len(each) == 1 else reduce(DataFrame.unionByName, each)
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(spark: SparkSession, clean: DataFrame, top: int) -> DataFrame:
+    """query_id, vec_id, score among vectors of one length."""
     scratch = Scratch(spark)
-    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
-    before = {k: spark.conf.get(k) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        clean = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: (x + F.lit(0.0)).cast("float")).alias("vec"), is_query.alias("asks")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
-        size = clean.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-        if size is None:
-            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        clean = clean.filter(F.size("vec") == size.n).distinct()
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "64"}):
         nodes = clean.groupBy("vec").agg(F.min("id").alias("node"))
         copies = scratch.write(clean.join(nodes, "vec").select("node", "id", "asks", "vec"), "copies")
         nodes = copies.filter("node = id").select(F.col("node").alias("id"), "vec")
@@ -439,18 +444,13 @@ def nearest(spark: SparkSession, rows: DataFrame, is_query: Column, top: int = T
         blocks = max(1, -(-n * effort.near // (NODES * LEAST)))
         graph = build(spark, scratch, nodes, blocks, effort)
         found = scratch.write(search(spark, scratch, graph, copies.filter("asks").select(F.col("node").alias("id")).distinct(), blocks, effort.near), "found")
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
     first = Window.partitionBy("node").orderBy("id")
     some = copies.select("node", "id").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= top + 1).select("node", F.col("id").alias("vec_id"))
     asks = copies.filter("asks").select(F.col("node").alias("query"), F.col("id").alias("query_id"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     # the best of a query's node, with one to spare for the query's own row, serve all its copies
     each = found.join(some, "node").withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= top + 1)
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = asks.join(each, "query").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top)
-    return out.select("query_id", "rank", "vec_id", "score")
+    return asks.join(each, "query").filter("vec_id <> query_id").select("query_id", "vec_id", "score")
 
 
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

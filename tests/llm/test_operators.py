@@ -372,6 +372,21 @@ def test_nearest_small_is_exact(spark):
     assert nn_descent.nearest(spark, few, F.col("vec_id") % 20 == 0).count() == 4
 
 
+def test_nearest_of_doubles_and_all_lengths(spark):
+    """Scores are those of the vectors as given, and each length is searched by itself."""
+    rng = np.random.default_rng(30)
+    x = {k: rng.standard_normal(6 if k % 2 else 9) * 10.0 ** int(rng.integers(-3, 4)) for k in range(0, 160)}
+    x |= {20 * k: rng.standard_normal(6) for k in (10, 11)} | {1000: np.full(6, 1e39)}
+    got = {}
+    for r in nn_descent.nearest(spark, spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert set(got) == {k for k in x if k % 20 == 0}
+    for q, found in got.items():
+        best = sorted(((-float(x[q] @ v), k) for k, v in x.items() if k != q and len(v) == len(x[q])))[:20]
+        assert len(found) == 20 and len(set(found) & {k for _, k in best}) >= 18
+        assert all(s == pytest.approx(float(x[q] @ x[k]), rel=1e-12) for k, s in found.items())
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((3000, 32)).astype(np.float32)
