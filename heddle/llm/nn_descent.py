@@ -2,17 +2,20 @@
 
 Distinct vectors are nodes, dealt by a hash of their id into blocks; a block is one
 row that holds its nodes' vectors (as given, and in 8 bits for building) and lists
-of neighbours. Every round is three joins by block. A node's request to each
-neighbour carries its own vector, and so tells the neighbour of a reverse link; the
-reply brings the neighbour's vector. A node then compares its neighbours and a
-sample of reverse neighbours with each other, if one of a pair is new, and
-offers each the others that beat the last on its list. Rounds end when few lists
-change, however many it takes. Lists start from blocks of rows that random projections
-put side by side. Lists, samples, offers and projections grow with the number of nodes.
+of neighbours. Every round is four joins by block. A block asks once for each node that
+its lists name, saying how many of them do. The node draws from these numbers how
+many reverse links of each block it wants, and replies with its vector; the block then
+sends it the vectors of as many. So a node that very many lists name gets one short
+request a block, and no more vectors than any other. A node then compares its
+neighbours and the sample of reverse neighbours with each other, if one of a pair is
+new, and offers each the others that beat the last on its list; offers to one block
+are merged in a tree. Rounds end when few lists change, however many it takes. Lists
+start from blocks of rows that random projections put side by side. Lists, samples,
+offers and projections grow with the number of nodes.
 
 A query walks the graph from its own node: it asks its best nodes not yet asked for
-their neighbours, has those not yet seen scored on the vectors as given, in double
-precision, and stops when its best nodes, as many as a list holds, have all been asked.
+their neighbours (a block of queries asks each node once), has those not yet seen
+scored on the vectors as given, in double precision, and stops when its best nodes, as many as a list holds, have all been asked.
 
 Contract: query_id, rank, vec_id, score; a query's nearest by inner product, ties to
 the smaller id. Recall against brute force is measured in the tests.
@@ -44,6 +47,8 @@ from .common import Scratch, settings
 SETTLED = 0.02
 #: Nodes in a block with lists of LEAST; rows that a projection compares.
 NODES, SIDE = 2000, 256
+#: Messages of offers to one block that one task merges.
+FAN = 256
 #: Results, nodes asked in a step, scored nodes kept beyond the width.
 TOP, ASKED, SPARE = 20, 16, 32
 #: Length of the lists up to BASE nodes, and what each doubling beyond adds to it.
@@ -142,33 +147,76 @@ def _beside(blocks: int, most: int, batches):
 
 
 def _requests(blocks: int, batches):
+    """Each block's wish for the nodes that its lists name, and how often they do."""
     for b in batches:
-        for body in b.column(b.schema.get_field_index("body")):
-            ids, _, small, scale, near, value, new = pickle.loads(body.as_py())
-            i, k = np.nonzero(near >= 0)
-            last = value[:, -1]
-            yield from _send(_block(near[i, k], blocks), ids[i], near[i, k], new[i, k], last[i], scale[i], small[i]).to_batches()
+        for own, body in zip(b.column("block").to_pylist(), b.column("body"), strict=True):
+            near = pickle.loads(body.as_py())[4]
+            to, times = np.unique(near[near >= 0], return_counts=True)
+            yield from _send(_block(to, blocks), np.full(len(to), own), to, times).to_batches()
+
+
+def _draws(rng: np.random.Generator, at: np.ndarray, times: np.ndarray, most: int) -> np.ndarray:
+    """How many of the links that each row stands for are among `most` drawn of its node's; rows lie by node."""
+    wanted = times.copy()
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    for lo, hi, total in zip(first, [*first[1:], len(at)], np.add.reduceat(times, first), strict=True):
+        if total > most:
+            drawn = np.searchsorted(np.cumsum(times[lo:hi]), rng.choice(total, most, replace=False, shuffle=False), "right")
+            wanted[lo:hi] = np.bincount(drawn, minlength=hi - lo)
+    return wanted
 
 
-def _replies(blocks: int, seed: int, reverse: int):
+def _replies(seed: int, reverse: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            return _send(np.zeros(0, np.int64))
         ids, _, small, scale, _, value, _ = _got(left)[0]
+        own, to, times = _joined(_got(right))
+        order = np.lexsort((own, to))
+        own, to, times = own[order], to[order], times[order]
+        at = np.searchsorted(ids, to)
+        wanted = _draws(np.random.default_rng([seed, left["block"][0].as_py()]), at, times, reverse)
+        return _send(own, to, wanted, value[at, -1], scale[at], small[at])
+
+    return run
+
+
+def _links(blocks: int, seed: int):
+    """A block's own links beside its neighbours' vectors, and the reverse links that neighbours have drawn."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows:
             return _send(np.zeros(0, np.int64))
-        u, v, new, last, their, vec = _joined(_got(right))
-        at = np.searchsorted(ids, v)
-        out = [(_block(u, blocks), u, v, new, value[at, -1], scale[at], small[at])]
-        rng = np.random.default_rng([seed, int(ids[0]) & 0xFFFF])
-        some = _first_of(at, rng.random(len(at)), reverse)
-        out.append((_block(v[some], blocks), v[some], u[some], new[some], last[some], their[some], vec[some]))
-        return _send(*_joined(out))
+        ids, _, small, scale, near, value, new = _got(left)[0]
+        to, wanted, last, their, vec = _joined(_got(right))
+        order = np.argsort(to)
+        to, wanted, last, their, vec = (c[order] for c in (to, wanted, last, their, vec))
+        i, k = np.nonzero(near >= 0)
+        at = np.searchsorted(to, near[i, k])
+        own = pa.table({"block": left["block"], "body": pa.array([pickle.dumps((ids[i], at, new[i, k], to, last, their, vec), 5)], pa.binary())})
+        order = np.lexsort((np.random.default_rng([seed, left["block"][0].as_py()]).random(len(at)), at))
+        nth = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+        some = order[nth < wanted[at[order]]]
+        i, k, v = i[some], k[some], near[i[some], k[some]]
+        return pa.concat_tables([own, _send(_block(v, blocks), v, ids[i], new[i, k], value[i, -1], scale[i], small[i])])
 
     return run
 
 
+def _told(table: pa.Table) -> tuple:
+    """Centres and members of a block, both ways, with the members' vectors."""
+    parts = []
+    for body in _got(table):
+        if len(body) == 7:
+            centre, at, new, member, *rest = body
+            body = centre, member[at], new, *(c[at] for c in rest)
+        parts.append(body)
+    return _joined(parts)
+
+
 def _compared(blocks: int, offers: int, most: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        centre, member, new, last, scale, vec = _joined(_got(table))
+        centre, member, new, last, scale, vec = _told(table)
         one = _once(centre, member)  # a neighbour both ways counts once
         centre, member, new, last, scale, vec = (c[one] for c in (centre, member, new, last, scale, vec))
         first = np.flatnonzero(np.concatenate([[True], centre[1:] != centre[:-1]]))
@@ -203,6 +251,29 @@ def _compared(blocks: int, offers: int, most: int):
     return run
 
 
+def _best(most: int):
+    """The best offers to each node of a block, out of several messages."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        a, b, s = _joined(_got(table))
+        one = _once(a, b)
+        a, b, s = a[one], b[one], s[one]
+        top = _first_of(a, s, most)
+        body = pickle.dumps((a[top], b[top], s[top]), 5)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([body], pa.binary())})
+
+    return run
+
+
+def _in_tree(offers: DataFrame, blocks: int, most: int) -> DataFrame:
+    """Offers of all blocks, merged until at most about FAN messages go to each."""
+    parts = blocks
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        offers = offers.groupBy("block", F.pmod(F.xxhash64("body"), F.lit(parts)).alias("part")).applyInArrow(_best(most), MESSAGE)
+    return offers
+
+
 def _merged(left: pa.Table, right: pa.Table) -> pa.Table:
     ids, vec, small, scale, near, value, new = _got(left)[0]
     changed = 0
@@ -252,16 +323,17 @@ def build(spark: SparkSession, scratch: Scratch, nodes: DataFrame, blocks: int,
 
         lined = nodes.mapInArrow(project, f"id long, vec {kind}, p double").repartitionByRange(blocks, "p").sortWithinPartitions("p", "id").select("id", "vec")
         offers = lined.mapInArrow(lambda b: _beside(blocks, effort.near, b), MESSAGE)
-        graph = _next(scratch, graph, offers, f"start{p}", "graph0" if not p else f"start{p - 1}")
+        graph = _next(scratch, graph, _in_tree(offers, blocks, effort.near), f"start{p}", "graph0" if not p else f"start{p - 1}")
     # nothing has been compared through the graph yet
     for k in count():
         if k == 0:
             graph = scratch.write(graph.mapInArrow(_all_new, GRAPH), "round0", "uncompressed")
             scratch.drop(f"start{effort.projections - 1}")
         asked = graph.mapInArrow(lambda b: _requests(blocks, b), MESSAGE)
-        told = graph.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_replies(blocks, k, effort.reverse), MESSAGE)
+        replies = graph.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_replies(k, effort.reverse), MESSAGE)
+        told = graph.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_links(blocks, k), MESSAGE)
         offers = told.groupBy("block").applyInArrow(_compared(blocks, effort.offers, effort.near), MESSAGE)
-        graph = _next(scratch, graph, offers, f"round{k + 1}", f"round{k}")
+        graph = _next(scratch, graph, _in_tree(offers, blocks, effort.near), f"round{k + 1}", f"round{k}")
         changed = graph.agg(F.sum("changed")).first()[0] or 0
         if changed <= SETTLED * effort.near * n:
             break
@@ -296,43 +368,40 @@ def _starting(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"block": left["block"], "body": pa.array([pickle.dumps(body, 5)], pa.binary()), "open": pa.array([len(own)], pa.int64())})
 
 
+def _turn(asked: np.ndarray, width: int) -> np.ndarray:
+    """Places of the nodes that a query asks next."""
+    return np.flatnonzero(~asked[:width])[:ASKED]
+
+
 def _frontier(blocks: int, width: int, batches):
     for b in batches:
-        for body in b.column(b.schema.get_field_index("body")):
-            own, _, _, found, score, asked = pickle.loads(body.as_py())
-            q, node = [], []
-            for i in range(len(own)):
-                top = np.flatnonzero(~asked[i][:width])[:ASKED]
-                if len(asked[i]) and not asked[i][:width].all():
-                    q.append(np.full(len(top), own[i]))
-                    node.append(found[i][top])
-            if q:
-                q, node = np.concatenate(q), np.concatenate(node)
-                yield from _send(_block(node, blocks), q, node).to_batches()
-
-
-def _neighbours(blocks: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not right.num_rows:
-            return _send(np.zeros(0, np.int64))
-        ids, near = (_got(left)[0][k] for k in (0, 4))
-        q, node = _joined(_got(right))
-        return _send(_block(q, blocks), q, node, near[np.searchsorted(ids, node)])
+        for block, body in zip(b.column("block").to_pylist(), b.column("body"), strict=True):
+            *_, found, _, asked = pickle.loads(body.as_py())
+            node = np.unique(np.concatenate([f[_turn(a, width)] for f, a in zip(found, asked, strict=True)]))
+            yield from _send(_block(node, blocks), np.full(len(node), block), node).to_batches()
 
-    return run
 
+def _neighbours(left: pa.Table, right: pa.Table) -> pa.Table:
+    if not right.num_rows:
+        return _send(np.zeros(0, np.int64))
+    ids, near = (_got(left)[0][k] for k in (0, 4))
+    block, node = _joined(_got(right))
+    return _send(block, node, near[np.searchsorted(ids, node)])
 
-def _unseen(blocks: int):
-    """Marks what was asked, and has new nodes scored where their vectors are."""
+
+def _unseen(blocks: int, width: int):
+    """Has the nodes that are new to a query scored where their vectors are."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
             return _send(np.zeros(0, np.int64))
-        own, x, seen, *_ = _got(left)[0]
-        q, _, near = _joined(_got(right))
+        own, x, seen, found, _, asked = _got(left)[0]
+        node, near = _joined(_got(right))
+        order = np.argsort(node)
+        node, near = node[order], near[order]
         to, who = [], []
-        for i in np.unique(np.searchsorted(own, q)):
-            w = np.setdiff1d(near[q == own[i]], seen[i])
+        for i in range(len(own)):
+            w = np.setdiff1d(near[np.searchsorted(node, found[i][_turn(asked[i], width)])], seen[i])
             w = w[w >= 0]
             to.append(w)
             who.append(np.full(len(w), i))
@@ -366,9 +435,8 @@ def _scores(blocks: int):
 def _moved(width: int, left: pa.Table, right: pa.Table) -> pa.Table:
     """Queries with what was scored for them; those asked for are marked as asked."""
     own, x, seen, found, score, asked = _got(left)[0]
-    for i in range(len(own)):  # the same choice that _frontier made
-        if len(asked[i]) and not asked[i][:width].all():
-            asked[i][np.flatnonzero(~asked[i][:width])[:ASKED]] = True
+    for a in asked:
+        a[_turn(a, width)] = True
     if right.num_rows:
         q, to, s = _joined(_got(right))
         order = np.argsort(q, kind="stable")
@@ -405,8 +473,8 @@ def search(spark: SparkSession, scratch: Scratch, graph: DataFrame, queries: Dat
     state = scratch.write(graph.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_starting, STATE), "walk0", "uncompressed")
     for k in count():
         asked = state.mapInArrow(lambda b: _frontier(blocks, width, b), MESSAGE)
-        near = graph.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_neighbours(blocks), MESSAGE)
-        new = state.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(_unseen(blocks), MESSAGE)
+        near = graph.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_neighbours, MESSAGE)
+        new = state.groupBy("block").cogroup(near.groupBy("block")).applyInArrow(_unseen(blocks, width), MESSAGE)
         scored = graph.groupBy("block").cogroup(new.groupBy("block")).applyInArrow(_scores(blocks), MESSAGE)
         state = scratch.write(state.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(lambda left, right: _moved(width, left, right), STATE), f"walk{k + 1}", "uncompressed")
         scratch.drop(f"walk{k}")

@@ -4,10 +4,13 @@ repeated rows, empty tables and columns of clashing names."""
 import datetime
 import hashlib
 import math
+import pickle
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -416,6 +419,65 @@ def test_nearest_effort_follows_the_nodes(spark, monkeypatch):
     assert seen[-1].agg(F.sum("changed")).first()[0] <= nn_descent.SETTLED * 64 * 400
 
 
+def test_nearest_hubs_get_short_requests():
+    """A node that every list names gets a row a block, and no more vectors than others."""
+    n, blocks, near, reverse = 4000, 40, 8, 28
+    rng = np.random.default_rng(31)
+    ids = np.arange(n)
+    block = nn_descent._block(ids, blocks)
+    asked, graph = [], {}
+    for b in range(blocks):
+        own = ids[block == b]
+        lists = rng.integers(50, n, (len(own), near))
+        lists[:, 0] = 7  # the hub
+        small, ones = rng.integers(-9, 9, (len(own), 4)).astype(np.int8), np.ones(len(own))
+        body = own, small.astype(float), small, ones, lists, np.ones(lists.shape), np.ones(lists.shape, bool)
+        graph[b] = pa.table({"block": pa.array([b], pa.int64()), "body": pa.array([pickle.dumps(body)], pa.binary())})
+        asked += nn_descent._requests(blocks, graph[b].to_batches())
+
+    def got(tables):
+        whole = pa.Table.from_batches([x for t in tables for x in (t.to_batches() if isinstance(t, pa.Table) else [t])])
+        return {b: whole.filter(pc.equal(whole["block"], b)) for b in range(blocks)}
+
+    requests = got(asked)
+    hub = int(nn_descent._block(np.array([7]), blocks)[0])
+    own, to, times = nn_descent._joined(nn_descent._got(requests[hub]))
+    assert (to == 7).sum() == blocks and times[to == 7].sum() == n
+    replies = got([nn_descent._replies(0, reverse)(graph[b], requests[b]) for b in range(blocks)])
+    told = got([nn_descent._links(blocks, 0)(graph[b], replies[b]) for b in range(blocks)])
+    links, back = Counter(), Counter()
+    for b in range(blocks):
+        for body in nn_descent._got(told[b]):
+            if len(body) == 7:
+                links.update(zip(body[0].tolist(), body[3][body[1]].tolist(), strict=True))
+            else:
+                back.update(zip(body[0].tolist(), body[1].tolist(), strict=True))
+    want = Counter((int(u), int(v)) for b in range(blocks) for u, l in zip(ids[block == b], nn_descent._got(graph[b])[0][4], strict=True) for v in l)
+    assert links == want
+    named = Counter(v for _, v in want.elements())
+    per = Counter(v for v, _ in back.elements())
+    assert per == {v: min(k, reverse) for v, k in named.items()}
+    assert all((u, v) in want for v, u in back)
+
+
+def test_nearest_recall_with_hubs(spark, monkeypatch):
+    """Vectors of log-normal length: a few are in almost all lists. Offers are merged in a tree of many levels."""
+    monkeypatch.setattr(nn_descent, "FAN", 2)
+    monkeypatch.setattr(nn_descent, "NODES", 300)
+    rng = np.random.default_rng(32)
+    x = (rng.standard_normal((2000, 16)) * rng.lognormal(0, 0.7, (2000, 1))).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = {}
+    for r in nn_descent.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        s = x.astype(float) @ x[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 100 and hit / (100 * 20) >= 0.9
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
