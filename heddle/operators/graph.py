@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rounds of a loop between checkpoints.
@@ -115,12 +115,16 @@ def contract(edges: DataFrame, k: int, seed: int = 0) -> DataFrame:
 NUMBERED = 1_000_000
 
 
-def relabel(nodes: DataFrame, partitions: int | None = None) -> DataFrame:
-    """id, label: 0 .. n-1 by rising id, numbered within ranges and then over them."""
-    partitions = partitions or -(-nodes.count() // NUMBERED) or 1
-    ranged = nodes.select("id").repartitionByRange(partitions, "id").withColumn("part", F.spark_partition_id())
-    ranged = _kept(ranged)
+def numbered(rows: DataFrame, *order: str | Column, name: str = "label", partitions: int | None = None) -> DataFrame:
+    """rows with 0 .. n-1 in an order that tells all rows apart, numbered within ranges and then over them."""
+    partitions = partitions or -(-rows.count() // NUMBERED) or 1
+    ranged = _kept(rows.repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     ahead = sizes.withColumn("ahead", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
-    return ranged.withColumn("nth", nth).join(F.broadcast(ahead), "part").select("id", (F.coalesce("ahead", F.lit(0)) + F.col("nth")).alias("label"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return ranged.withColumn("nth", nth).join(F.broadcast(ahead), "part").select(*rows.columns, (F.coalesce("ahead", F.lit(0)) + F.col("nth")).alias(name))
+
+
+def relabel(nodes: DataFrame, partitions: int | None = None) -> DataFrame:
+    """id, label: 0 .. n-1 by rising id."""
+    return numbered(nodes.select("id"), "id", partitions=partitions)

@@ -73,7 +73,7 @@ _sql("filter_between", "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN
 _sql("filter_not", "SELECT s_suppkey FROM supplier WHERE NOT (s_acctbal > 0 OR s_nationkey = 3)")
 _sql("filter_is_null", "SELECT c.c_custkey, o.o_orderkey IS NULL AS without_order FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL OR o.o_orderstatus IS NOT NULL")
 _sql("filter_col_vs_col", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey < l_suppkey OR l_discount > l_tax")
-_sql("filter_any_all", "SELECT p_partkey FROM part WHERE p_retailprice >= (SELECT MAX(p_retailprice) FROM part) OR p_size < (SELECT MIN(s_nationkey) + 3 FROM supplier)")
+_sql("filter_any_all", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size < 20) OR p_size + 1 < ANY (SELECT s_nationkey FROM supplier) OR p_partkey = SOME (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 7)")
 _sql("filter_regexp", "SELECT p_partkey, p_brand FROM part WHERE REGEXP_LIKE(p_brand, '^Brand#[12][0-9]*$')", "SELECT p_partkey, p_brand FROM part WHERE regexp_matches(p_brand, '^Brand#[12][0-9]*$')")
 _sql("filter_nan", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE isnan(CAST(CASE WHEN l_linenumber = 3 THEN 'NaN' ELSE '1' END AS DOUBLE)) AND NOT isnan(CAST(l_quantity AS DOUBLE))")
 _sql("select_star", "SELECT * FROM nation")
@@ -248,7 +248,15 @@ def join_sum_ratio(spark: SparkSession, folder: str) -> DataFrame:
 
 # Order, limits, sets, sub-queries ------------------------------------------------------------------
 
-_sql("order_by_two_keys", "SELECT CAST(ROW_NUMBER() OVER (ORDER BY o_orderpriority ASC, o_totalprice DESC, o_orderkey) AS BIGINT) AS place, o_orderkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') x ORDER BY o_orderpriority ASC, o_totalprice DESC, o_orderkey")
+
+@_built("SELECT CAST(ROW_NUMBER() OVER (ORDER BY o_orderpriority ASC, o_totalprice DESC, o_orderkey) AS BIGINT) AS place, o_orderkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') x ORDER BY o_orderpriority ASC, o_totalprice DESC, o_orderkey")
+def order_by_two_keys(spark: SparkSession, folder: str) -> DataFrame:
+    (orders,) = _read(spark, folder, "orders")
+    some = orders.filter("o_orderstatus = 'P'").select("o_orderpriority", "o_totalprice", "o_orderkey")
+    placed = graph.numbered(some, "o_orderpriority", F.desc("o_totalprice"), "o_orderkey", name="place")
+    return placed.select((F.col("place") + 1).cast("long").alias("place"), "o_orderkey").orderBy("place")
+
+
 _sql("order_by_alias_desc", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey")
 _sql("order_by_expression", "SELECT n_name FROM nation ORDER BY n_regionkey * 10 - n_nationkey, n_name")
 _sql("order_nulls", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey ORDER BY o.o_orderkey ASC NULLS LAST, c.c_custkey")
@@ -421,13 +429,12 @@ def graph_relabel(spark: SparkSession, folder: str) -> DataFrame:
     return graph.relabel(orders.select(F.col("o_orderkey").alias("id"))).select("id", F.col("label").cast("long").alias("label"))
 
 
-@_built("SELECT LEAST(25, COUNT(DISTINCT n_regionkey)) * 0 + 6 AS nodes_left FROM nation")
+@_built("SELECT COUNT(DISTINCT l_suppkey) AS nodes_left, CAST(1 AS BIGINT) AS parts FROM lineitem")
 def graph_contract(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes of a ring of all nations after contraction to six."""
-    (nation,) = _read(spark, folder, "nation")
-    n = nation.count()
-    ring = nation.select(F.col("n_nationkey").cast("long").alias("src"), F.pmod(F.col("n_nationkey") + 1, F.lit(n)).cast("long").alias("dst"))
-    return graph.nodes_of(graph.contract(ring, 6)).agg(F.count("*").alias("nodes_left"))
+    """Nodes and connected parts of the suppliers' graph after contraction to as many nodes as there are suppliers."""
+    (line,) = _read(spark, folder, "lineitem")
+    left = graph.contract(_edges(spark, folder), line.select("l_suppkey").distinct().count())
+    return graph.components(left).agg(F.count("*").alias("nodes_left"), F.countDistinct("component").alias("parts"))
 
 
 # Streams ------------------------------------------------------------------------------------------

@@ -75,7 +75,31 @@ def test_engine(spark, tmp_path):
     assert "Exchange" in engine.explain("SELECT id % 3 AS k, count(*) AS n FROM range(9) GROUP BY 1")
 
 
+@pytest.mark.parametrize("op", ["=", "<>", "<", "<=", ">", ">="])
+@pytest.mark.parametrize("how", ["ANY", "ALL"])
+def test_quantifiers(spark, op, how):
+    """Against plain three-valued logic, for sub-queries with and without nulls, and an empty one."""
+    engine, plain = Engine(spark), {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[op]
+    values = [1, 2, 3, 4, None]
+    engine.create("t", spark.createDataFrame([(x,) for x in values], "x int"))
+    for k, sub in enumerate([[], [2], [2, 3], [3, 3], [None], [2, None]]):
+        engine.create(f"s{k}", spark.createDataFrame([(x,) for x in sub], "y int"))
+
+    def truth(x, sub):
+        found = [None if x is None or y is None else plain(x, y) for y in sub]
+        sure = how == "ANY"
+        return sure if sure in found else None if None in found else not sure
+
+    kept = lambda test, k: sorted(repr(r[0]) for r in engine.sql(f"SELECT x FROM t WHERE {test.format(f'x {op} {how} (SELECT y FROM s{k})')}").collect())
+    for k, sub in enumerate([[], [2], [2, 3], [3, 3], [None], [2, None]]):
+        assert kept("{}", k) == sorted(repr(x) for x in values if truth(x, sub) is True), sub
+        assert kept("NOT ({})", k) == sorted(repr(x) for x in values if truth(x, sub) is False), sub
+
+
 def test_dialect():
+    assert normalise("SELECT a FROM t WHERE b = '> ANY (SELECT 1)' AND c LIKE ANY ('x', 'y')") == "SELECT a FROM t WHERE b = '> ANY (SELECT 1)' AND c LIKE ANY ('x', 'y')"
+    assert normalise("SELECT 1 WHERE a IS NOT NAN AND t.b IS INFINITE").count("CAST(") == 3
+    assert normalise("SELECT 1 WHERE x + 1 = SOME (SELECT ')' FROM u)") == "SELECT 1 WHERE x + 1 IN (SELECT ')' FROM u)"
     assert normalise("SELECT a FROM t WHERE a ^= 'b^=c' -- it's\n;") == "SELECT a FROM t WHERE a <> 'b^=c'"
     assert normalise("SELECT count_distinct(x) FROM t") == "SELECT COUNT(DISTINCT x) FROM t"
     assert len(CATALOGUE) == 19 and comparable("DATE", "TEXT") and comparable("INTEGER", "DECIMAL") and not comparable("TEXT", "INTEGER")
