@@ -57,10 +57,11 @@ class WordIds:
     whose normal form this can't tell at sight, go through the library itself.
     """
 
-    def __init__(self, path: str, cached: int = CACHED):
+    def __init__(self, path: str, cached: int = CACHED, proven: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok, self.cached, self.seen = Tokenizer.from_file(path), cached, {}
         self.differed, self.renewed = 0, False
+        self.proven = ranks_suffice(path) if proven is None else proven
         self._rank(path)
         self.special = [t.content[:2] for t in self.tok.get_added_tokens_decoder().values()]
 
@@ -88,10 +89,11 @@ class WordIds:
         return b"".join(map(self.seen.__getitem__, chunks))
 
     def _learn(self, new: list[str]) -> None:
-        """Remember new chunks' ids: by ranked merges, a few of every batch checked against the library.
-        Where one differs the library's ids are taken, from then on for all chunks."""
+        """Remember new chunks' ids: by ranked merges if the file's merges are proven to agree with them, else the library's.
+        A few of every batch are checked against the library all the same; where one differs the library's
+        ids are taken, from then on for all chunks."""
         one, ids = self.ranked.encode_single_piece, self.id_of
-        plain = [c for c in new if c.isascii() or _latin(c)] if not self.differed else []
+        plain = [c for c in new if c.isascii() or _latin(c)] if self.proven and not self.differed else []
         for c in plain:
             self.seen[c] = b"".join([ids[i] for w in WORDS(c) for i in one(w.encode() + b"\xff")])
         probe = plain[:: 1 + len(plain) // 4]
@@ -109,17 +111,8 @@ class WordIds:
         A word's end is the byte 0xFF, which no UTF-8 text has; merging it with the
         last byte comes first, then the file's merges in their order.
         """
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
-        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # byte-level BPE's printable bytes
-        char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*shown}))}
-        byte = {c: b for b, c in char.items()}
-        raw = lambda t: bytes(byte[c] for c in t.removesuffix(suffix)) + b"\xff" * t.endswith(suffix)
-        tokens = [(bytes([b]), vocab[char[b]]) for b in range(256)]
-        tokens += [(bytes([b, 255]), vocab[char[b] + suffix]) for b in range(255)]
-        for m in model["merges"]:
-            t = "".join(m if isinstance(m, list) else m.split(" "))
-            tokens.append((raw(t), vocab[t]))
+        singles, merges = _merges(path)
+        tokens = singles + [(a + b, n) for a, b, n in merges]
         ranks: dict[bytes, int] = {}
         for t, _ in tokens:
             ranks.setdefault(t, len(ranks))
@@ -128,6 +121,55 @@ class WordIds:
         self.ranked = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
 
+def _merges(path: str) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, bytes, int]]]:
+    """Of a tokenizers file: (bytes, id) of the single symbols, and (left, right, id) of the merges in order."""
+    model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # byte-level BPE's printable bytes
+    char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*shown}))}
+    byte = {c: b for b, c in char.items()}
+    raw = lambda t: bytes(byte[c] for c in t.removesuffix(suffix)) + b"\xff" * t.endswith(suffix)
+    singles = [(bytes([b]), vocab[char[b]]) for b in range(256)] + [(bytes([b, 255]), vocab[char[b] + suffix]) for b in range(255)]
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    return singles, [(raw(a), raw(b), vocab[a + b]) for a, b in pairs]
+
+
+def ranks_agree(merges: list[tuple[bytes, bytes, int]]) -> bool:
+    """Whether merging any neighbours that make a token, lowest rank first, is merging by the listed pairs.
+
+    It is if every token has one listed pair, and merging the token's own symbols by rank
+    ends with that pair. For neighbours x, y in any text: no merge has crossed their outer
+    ends yet, so what happened between those is what happens to the token xy alone, and
+    that comes to two parts in one way only, the listed one. So both ways have the same
+    candidates, of the same ranks, at every step.
+    """
+    rank = {a + b: k for k, (a, b, _) in enumerate(merges)}
+    if len(rank) < len(merges):
+        return False
+    for a, b, _ in merges:
+        whole = a + b
+        end = len(whole) - whole.endswith(b"\xff")
+        parts = [whole[k : k + 1] for k in range(end - 1)] + [whole[end - 1 :]]
+        while len(parts) > 2:
+            at = min(range(len(parts) - 1), key=lambda k: rank.get(parts[k] + parts[k + 1], len(rank)))
+            if parts[at] + parts[at + 1] not in rank:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if parts != [a, b]:
+            return False
+    return True
+
+
+_PROVEN: dict[str, bool] = {}
+
+
+def ranks_suffice(path: str) -> bool:
+    """ranks_agree() of a file, told once a process."""
+    if path not in _PROVEN:
+        _PROVEN[path] = ranks_agree(_merges(path)[1])
+    return _PROVEN[path]
+
+
 def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -139,18 +181,18 @@ def _latin(text: str) -> bool:
 _LOADED: dict[str, WordIds] = {}
 
 
-def _word_ids(path: str) -> WordIds:
+def _word_ids(path: str, proven: bool) -> WordIds:
     if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
+        _LOADED[path] = WordIds(path, proven=proven)
     return _LOADED[path]
 
 
 def pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) for every piece of every document."""
-    end = int(end_id).to_bytes(4, "little")
+    end, proven = int(end_id).to_bytes(4, "little"), ranks_suffice(path)
 
     def cut(batches):
-        ids_of = _word_ids(path)
+        ids_of = _word_ids(path, proven)
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -2,6 +2,7 @@
 repeated rows, empty tables and columns of clashing names."""
 
 import datetime
+import functools
 import hashlib
 import math
 import pickle
@@ -13,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from heddle.llm import dedup_stream, hmm_lm, langid_zstd, nn_descent, packing, pii_feistel, piece_bpe, quality_kn, sharding, simhash_gray
@@ -633,6 +636,29 @@ def test_packing_takes_the_librarys_ids_where_merges_differ(rows):
     assert own.differed
 
 
+def test_packing_proves_that_ranks_give_the_files_merges():
+    assert packing.ranks_suffice(packing.tokenizer_path())
+    ab, bc = (b"a", b"b", 300), (b"b", b"c", 301)
+    assert packing.ranks_agree([ab, bc, (b"ab", b"c", 302)])
+    assert not packing.ranks_agree([ab, bc, (b"a", b"bc", 302)])  # by rank ab and c would meet, which isn't listed
+    assert not packing.ranks_agree([ab, bc, (b"ab", b"c", 302), (b"a", b"bc", 302)])  # two ways to one token
+    own = packing.WordIds(packing.tokenizer_path(), proven=False)
+    assert own("words of the library") == packing.WordIds(packing.tokenizer_path())("words of the library")
+
+
+@given(st.lists(st.text("aeinrstlog'\xe9\xdf\u0131 7.", max_size=40), min_size=1, max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_packing_ids_are_the_librarys(texts):
+    own = _word_ids()
+    for t in texts:
+        assert own(t) == np.array(own.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@functools.cache
+def _word_ids():
+    return packing.WordIds(packing.tokenizer_path())
+
+
 def test_packing_numbers_many_blocks(spark, monkeypatch):
     """Ranks over blocks and parts of them: each place is taken once."""
     monkeypatch.setattr(packing, "RANKED", 3)
