@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heddle.functions.catalogue import normalise
 from heddle.operators import fused, graph, matrix
+from heddle.plans import rewrite
 from heddle.sources import schema, tables
 
 
 class Engine:
     """Tables by case-insensitive name; queries return lazy DataFrames."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self._tables = spark, {}
+    def __init__(self, spark: SparkSession, factor: str = "auto"):
+        """factor: when sums over joins are factored by key: auto, always or never (see plans/rewrite.py)."""
+        self.spark, self.factor, self._tables = spark, factor, {}
         self._declared: dict = {}
 
     def create(self, name: str, df: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ class Engine:
     def sql(self, query: str) -> DataFrame:
         for name, df in self._tables.items():
             df.createOrReplaceTempView(name)
-        return self.spark.sql(normalise(query))
+        return rewrite.factored(self.spark.sql(normalise(query)), self.factor)
 
     def sql_file(self, path: str) -> DataFrame:
         return self.sql(Path(path).read_text())

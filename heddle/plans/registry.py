@@ -318,6 +318,17 @@ def matmul_counts(spark: SparkSession, folder: str) -> DataFrame:
     return matrix.matmul(m, matrix.transpose(m), "sparse")
 
 
+# Join-and-sum and matrix shapes given as SQL; keys repeat on both sides, so the plans are factored (plans/rewrite.py).
+_sql(
+    "sql_matmul",
+    "SELECT a.l_suppkey AS i, b.l_suppkey AS j, CAST(SUM(CAST(a.l_quantity AS BIGINT) * CAST(b.l_quantity AS BIGINT)) AS BIGINT) AS v FROM lineitem a, lineitem b WHERE a.l_linenumber = b.l_linenumber GROUP BY a.l_suppkey, b.l_suppkey",
+    f"WITH m AS ({_PS}) SELECT a.i AS i, b.i AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM m a JOIN m b ON a.j = b.j GROUP BY a.i, b.i",
+)
+_sql("sql_matmul_cte", f"WITH m AS ({_PS}) SELECT a.j AS i, b.j AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j")
+_sql("sql_join_groupby_both", f"SELECT c.c_mktsegment, s.s_nationkey, COUNT(*) AS n, MAX(s.s_suppkey) AS top, {_money('c.c_acctbal')} AS total FROM customer c, supplier s WHERE c.c_nationkey = s.s_nationkey AND s.s_acctbal > 0 GROUP BY c.c_mktsegment, s.s_nationkey")
+_sql("sql_join_count", "SELECT COUNT(*) AS n FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey")
+
+
 @_built(f"WITH m AS ({_PS}) SELECT j AS i, i AS j, v FROM m")
 def matrix_transpose(spark: SparkSession, folder: str) -> DataFrame:
     return matrix.transpose(matrix.coo(*_read(spark, folder, "lineitem"), "l_suppkey", "l_linenumber", F.col("l_quantity").cast("long")))
