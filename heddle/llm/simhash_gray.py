@@ -12,11 +12,14 @@ A cell gives a spanning forest of its links, never all pairs; the forests' edges
 meet in alternating large-star and small-star rounds over tables in the shared
 folder.
 
-Near-duplicates at a shingle similarity (near_duplicates()) are found by a sketch of
-512 minima of a text's five-word shingles: texts that agree in all BAND minima of a
-band are candidates. Of pairs at a similarity of 0.8 one in 100,000 is expected to
-agree in none of the 64 bands, as 1 - 0.8 ** 8 to the 64th power says for independent
-minima, and of more similar ones fewer. The shingles themselves decide.
+Near-duplicates at a shingle similarity (near_duplicates()) go through the same index.
+One fingerprint of a whole text differs in about 10 bits between texts at a similarity
+of 0.8, so a text has 64: each is the SimHash of BAND five-word shingles, drawn as the
+smallest in bins by hash, which two texts draw alike as often as their similarity says.
+Texts whose fingerprints the index links at NEAR bits are candidates. Of pairs at a
+similarity of 0.8 at most one in 100,000 is expected to agree in none of the 64, as
+1 - 0.8 ** 8 to the 64th power says for independent draws, and of more similar ones
+fewer. The shingles themselves decide.
 
 Contract: see fingerprints() and link(); one row per document with the smallest id
 of its component.
@@ -79,6 +82,8 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
 
 #: Near-duplicates: least similarity, bins of a sketch, bins in a band, half the texts that a cell compares, about.
 ALIKE, BINS, BAND, HALF = 0.8, 512, 8, 512
+#: Bits in which the fingerprints of a band may differ.
+NEAR = 1
 #: Texts whose shingles are asked for by keys sent to every executor; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 _PROBES = np.random.default_rng(512).integers(0, BINS, (BINS, 64))
@@ -91,10 +96,10 @@ def shingles(text: bytes, size: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), own), "<u8"))
 
 
-def _minima(h: np.ndarray) -> bytes:
-    """Four bits of the smallest of rising shingle hashes in each of BINS bins; an empty bin borrows
-    from the first full one of its own sequence. Two texts agree in about as many bins
-    as their similarity says, and in one in 16 of the others."""
+def _drawn(h: np.ndarray) -> np.ndarray:
+    """The smallest of rising shingle hashes in each of BINS bins, mixed with the bin's number; an empty
+    bin borrows from the first full one of its own sequence. Two texts agree in about as many bins
+    as their similarity says."""
     at, first = np.unique(h >> np.uint64(55), return_index=True)
     least = np.zeros(BINS, np.uint64)
     full = np.zeros(BINS, bool)
@@ -106,8 +111,19 @@ def _minima(h: np.ndarray) -> bytes:
             break
         source[empty] = _PROBES[empty, k]
     source = np.where(full[source], source, int(at[0]))
-    mixed = (least[source] ^ (np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-    four = (mixed >> np.uint64(60)).astype(np.uint8)
+    return (least[source] ^ (np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def band_prints(h: np.ndarray) -> np.ndarray:
+    """SimHash of each band's drawn shingles, from a text's rising shingle hashes, as signed 64-bit numbers."""
+    drawn = _drawn(h).astype("<u8").reshape(-1, BAND)
+    ones = np.unpackbits(drawn.view(np.uint8).reshape(-1, BAND, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+    return np.packbits(ones * 2 > BAND, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def _minima(h: np.ndarray) -> bytes:
+    """Four bits of what each bin draws; of unlike draws one in 16 agrees."""
+    four = (_drawn(h) >> np.uint64(60)).astype(np.uint8)
     return (four[::2] | four[1::2] << np.uint8(4)).tobytes()
 
 
@@ -137,34 +153,33 @@ def set_print(h: np.ndarray) -> int:
 
 
 def prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_hash (of the text), fp (of its shingles), sketch for every row."""
+    """doc_id, row_hash (of the text), set (of its shingles), bands (its band prints) for every row."""
 
     def run(batches):
         for b in batches:
             sets = [shingles(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(set_print, sets), pa.int64()), pa.array(map(_minima, sets), pa.binary())], ["doc_id", "row_hash", "fp", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(set_print, sets), pa.int64()), pa.array([band_prints(h).tobytes() for h in sets], pa.binary())], ["doc_id", "row_hash", "set", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("row_hash"), F.col(text_col))
-    return rows.mapInArrow(run, "doc_id long, row_hash long, fp long, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, row_hash long, set long, bands binary")
 
 
 def _sets(batches):
     for b in batches:
         sets = [shingles(t or b"") for t in b.column(0).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(map(set_print, sets), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["fp", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(map(set_print, sets), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["set", "shingles"])
 
 
 def _bands(batches):
-    """Each text's bands: a band's number and its BAND minima of four bits."""
+    """Each text's band prints, a row each."""
     for b in batches:
-        minima = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(b.num_rows, BINS // BAND).astype(np.int64)
-        band = minima | np.arange(BINS // BAND, dtype=np.int64) << 32
-        yield pa.RecordBatch.from_arrays([pa.array(band.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BINS // BAND))], ["band", "fp"])
+        fp = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(np.repeat(b.column(0).to_numpy(), BINS // BAND))], ["fp", "set"])
 
 
 def _alike(table: pa.Table) -> pa.Table:
     """Links of a cell's texts by their shingles; those within what has grown together already are passed over."""
-    fp, sets = table["fp"].to_numpy(), [np.frombuffer(x.as_buffer(), "<u8") for x in table["shingles"]]
+    own_set, sets = table["set"].to_numpy(), [np.frombuffer(x.as_buffer(), "<u8") for x in table["shingles"]]
     size, label, a, b = np.array([len(x) for x in sets]), np.arange(len(sets)), [], []
     for i, own in enumerate(sets):
         todo = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
@@ -177,8 +192,8 @@ def _alike(table: pa.Table) -> pa.Table:
         near = todo[both / (size[i] + size[todo] - both) >= ALIKE]
         if len(near):
             label[np.isin(label, label[near])] = label[i]
-            a += [np.full(len(near), fp[i])]
-            b += [fp[near]]
+            a += [np.full(len(near), own_set[i])]
+            b += [own_set[near]]
     return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
 
 
@@ -375,23 +390,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     or more; first says whether a row has its component's smallest id and, of those, text hash."""
     scratch = Scratch(spark)
     table = scratch.write(prints(docs, id_col, text_col), "prints")
-    nodes = table.select("fp", "sketch").distinct()
-    bands = scratch.write(nodes.mapInArrow(_bands, "band long, fp long"), "bands")
-    groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("who")).filter("n > 1")
+    nodes = table.select("set", "bands").distinct()
+    shown = scratch.write(nodes.mapInArrow(_bands, "fp long, set long"), "shown")
+    with Scratch.dropped():  # a fingerprint stands for itself in the index: what links two names a band
+        linked = link(spark, shown.withColumn("doc_id", F.col("fp")), NEAR)
+        bands = scratch.write(linked.select(F.col("component_id").alias("band"), "set"), "bands")
+    scratch.drop("shown")
+    groups = bands.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set")).alias("who")).filter("n > 1")
     groups = scratch.write(groups.groupBy("n", "who").agg(F.min("band").alias("band")), "groups")  # equal groups once
     parts = F.when(F.col("n") > 2 * HALF, F.ceil(F.col("n") / HALF)).otherwise(F.lit(1)).cast("int")
-    cells = bands.join(groups, "band").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    cells = bands.join(groups, "band").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int"))
     # a large group is compared part by part, every two of them in a cell
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "fp")
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "set")
     cells = scratch.write(cells, "cells")
-    busy = scratch.write(cells.select("fp").distinct(), "busy")
+    scratch.drop("bands")
+    busy = scratch.write(cells.select("set").distinct(), "busy")
     few = F.broadcast(busy) if busy.count() <= MOST_SENT else busy
-    sets = docs.select(F.col(text_col)).mapInArrow(_sets, "fp long, shingles binary").join(few, "fp", "left_semi")
-    sets = scratch.write(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
-    edges = cells.join(sets, "fp").groupBy("band", "lo", "hi").applyInArrow(lambda t: _alike(t), "a long, b long")
+    sets = docs.select(F.col(text_col)).mapInArrow(_sets, "set long, shingles binary").join(few, "set", "left_semi")
+    sets = scratch.write(sets.groupBy("set").agg(F.first("shingles").alias("shingles")), "sets")
+    edges = cells.join(sets, "set").groupBy("band", "lo", "hi").applyInArrow(lambda t: _alike(t), "a long, b long")
     labels = components(spark, scratch, edges)
-    named = nodes.select("fp").distinct().join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
-    rows = scratch.write(table.select("doc_id", "row_hash", "fp").join(named, "fp"), "rows")
+    named = table.select("set").distinct().join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("label", "set").alias("label"))
+    rows = scratch.write(table.select("doc_id", "row_hash", "set").join(named, "set"), "rows")
     least = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("least"))
     first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row_hash") == F.col("least.row_hash"))
     return rows.join(least, "label").select("doc_id", "row_hash", F.col("least.doc_id").alias("component_id"), first.alias("first"))

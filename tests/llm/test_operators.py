@@ -553,6 +553,36 @@ def test_near_duplicates_of_appended_and_shortened_copies(spark, monkeypatch, ha
     assert got == want
 
 
+def test_near_duplicates_go_through_the_gray_index(spark, monkeypatch):
+    """Candidates are what the index links: those whose band prints differ in a bit are found, and without links none is."""
+    base = [[f"{x}{k}" for x in np.random.default_rng(k).choice(WORDS, 120)] for k in range(6)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)] + [(100 + k, " ".join([*w, "end"])) for k, w in enumerate(base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = []
+
+    def seen(spark, fps, most=3, cell=simhash_gray.CELL):
+        linked.append((most, sorted((r.set, r.fp) for r in fps.collect())))
+        return link(spark, fps, most, cell)
+
+    link = simhash_gray.link
+    monkeypatch.setattr(simhash_gray, "link", seen)
+    got = {r.doc_id: r.component_id for r in simhash_gray.near_duplicates(spark, docs).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+    sets = [simhash_gray.shingles(t.encode()) for _, t in rows]
+    assert linked == [(simhash_gray.NEAR, sorted((simhash_gray.set_print(h), int(fp)) for h in sets for fp in simhash_gray.band_prints(h)))]
+    for h in sets:  # bit by bit
+        drawn = simhash_gray._drawn(h).reshape(-1, simhash_gray.BAND).tolist()
+        assert simhash_gray.band_prints(h).tolist() == [simhash_gray._signed(sum((sum(x >> b & 1 for x in d) * 2 > len(d)) << b for b in range(64))) for d in drawn]
+    # prints of one text a bit off those of its copy: no two are equal, and the index alone can tell
+    monkeypatch.setattr(simhash_gray, "link", lambda spark, fps, most: link(spark, fps.withColumn("fp", F.col("fp").bitwiseXOR(F.when(F.col("set").isin(odd), 1 << 20).otherwise(0).cast("long"))).withColumn("doc_id", F.col("fp")), most))
+    odd = [simhash_gray.set_print(simhash_gray.shingles(t.encode())) for i, t in rows if i >= 100]
+    got = {r.doc_id: r.component_id for r in simhash_gray.near_duplicates(spark, docs).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+    monkeypatch.setattr(simhash_gray, "link", lambda spark, fps, most: fps.withColumn("component_id", F.xxhash64("set", "fp")))
+    got = {r.doc_id: r.component_id for r in simhash_gray.near_duplicates(spark, docs).collect()}
+    assert got == {i: i for i, _ in rows}
+
+
 def test_sketch_tells_similarity():
     rng = np.random.default_rng(12)
     for _ in range(20):
