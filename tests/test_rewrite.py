@@ -4,7 +4,10 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from heddle.operators import fused, matrix
+from heddle.plans import rewrite
 from heddle.plans.engine import Engine
 from heddle.plans.registry import QUERIES
 
@@ -70,3 +73,26 @@ def test_factored_only_where_keys_repeat_on_both_sides(spark):
 def test_registered_queries_aggregate_before_the_join(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [" in plan[plan.index("Join Inner") :]
+
+
+def test_large_results_of_few_keys_are_not_shuffled(spark, monkeypatch):
+    """The same rows with keys as columns, and no exchange of joined rows; nulls, single keys and one-sided extremes."""
+    rows = [(k % 5 if k % 11 else None, k % 13, k % 7 if k % 3 else None, k / 4) for k in range(400)] + [(9, 50, 1, 1.0), (8, 51, None, 2.0)]
+    a = spark.createDataFrame(rows, "k int, g int, v int, w double").withColumn("d", F.col("w").cast("decimal(12,2)"))
+    b = spark.createDataFrame([(8 if r[0] == 0 else r[0], r[1] % 6, r[2], r[3]) for r in rows if r[1] < 50] + [(77, 99, 1, 1.0)], a.drop("d").schema)
+    a.createOrReplaceTempView("few_a")
+    b.createOrReplaceTempView("few_b")
+    text = "SELECT x.g, y.g AS h, SUM(x.v * y.v) AS s, SUM(x.d * y.v) AS t, COUNT(y.v) AS n, COUNT(*) AS c, MIN(x.v) AS lo, MAX(y.w) AS hi FROM few_a x JOIN few_b y ON x.k = y.k GROUP BY x.g, y.g"
+    monkeypatch.setattr(fused, "LEAST_PAIRS", 1)
+    plain, wide = spark.sql(text), rewrite.factored(spark.sql(text), "always")
+    m = matrix.coo(a, "g", "k", F.col("v").cast("long"))
+    products = [matrix.matmul(m, matrix.transpose(m), "sparse")]
+    monkeypatch.setattr(fused, "MOST_KEYS", 0)
+    products.append(matrix.matmul(m, matrix.transpose(m), "sparse"))
+    for x, y in ((plain, wide), products[::-1]):
+        assert x.dtypes == y.dtypes
+        assert sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    for df in (wide, products[0]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        top = plan[: plan.index("NestedLoopJoin")]
+        assert "Exchange" not in top and "HashAggregate" not in top
