@@ -481,6 +481,77 @@ def test_nearest_recall_with_hubs(spark, monkeypatch):
     assert len(got) == 100 and hit / (100 * 20) >= 0.9
 
 
+def test_nearest_lists_start_from_cells(spark, monkeypatch):
+    """Most neighbours are found before the first round, so that few rounds are needed."""
+    seen, following = {}, nn_descent._next
+
+    def keep(scratch, graph, offers, name, old):
+        out = following(scratch, graph, offers, name, old)
+        if name.startswith("start"):
+            seen.update((int(i), set(near[near >= 0].tolist())) for r in out.collect() for ids, *_, near, _, _ in [pickle.loads(r.body)[:7]] for i, near in zip(ids, near, strict=True))
+        return out
+
+    monkeypatch.setattr(nn_descent, "_next", keep)
+    x = np.random.default_rng(33).standard_normal((6000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nn_descent.nearest(spark, spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count()
+    hit = 0
+    for q in range(0, 6000, 30):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(seen[q] & set(np.argsort(-s)[:20].tolist()))
+    assert len(seen) == 6000 and hit / (200 * 20) >= 0.9
+
+
+def test_nearest_of_like_directions(spark, monkeypatch):
+    """A cell that most nodes lie in is dealt into parts; the rounds link what they have not met."""
+    monkeypatch.setattr(nn_descent, "SIDE", 64)
+    monkeypatch.setattr(nn_descent, "PIVOTS", 20)
+    rows, beside = [], nn_descent._to_cells
+    rng = np.random.default_rng(34)
+    x = rng.standard_normal((2000, 16)) * 0.3
+    x[:1500, 0] += 9
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    parts = np.array([1, 3, 1])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(900)), pa.array([v.tolist() for v in x[:900]], pa.list_(pa.float32()))], ["id", "vec"])
+    pivots = np.stack([-x[0], x[0], x[1900]])
+    for b in beside(pivots, parts, 1, [batch]):
+        rows += [(c, len(i)) for c, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i in [pickle.loads(body)[0]]]
+    assert sum(n for _, n in rows) == 900 and {c for c, _ in rows} >= {1, 2, 3} and max(n for _, n in rows) < 400
+    got = {}
+    for r in nn_descent.nearest(spark, spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        s = x.astype(float) @ x[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 100 and hit / (100 * 20) >= 0.9
+
+
+def test_nearest_walk_is_told_only_of_better_nodes():
+    """Every node that reaches a query's score comes back, at its exact score, and no other."""
+    rng = np.random.default_rng(35)
+    ids, vec = np.arange(0, 3000, 3), rng.standard_normal((1000, 16)).astype(np.float32)
+    x = rng.standard_normal((2, 16)).astype(np.float32)
+    exact = vec.astype(float) @ x.astype(float).T
+    graph = pa.table({"block": pa.array([0]), "body": pa.array([pickle.dumps((ids, vec))], pa.binary())})
+    beat = np.array([-np.inf, np.sort(exact[500:, 1])[-7]])
+    asks = pa.table({"block": pa.array([0]), "body": pa.array([pickle.dumps((np.array([5, 8]), x, beat, np.array([500, 500]), np.concatenate([ids[:500], ids[500:]])))], pa.binary())})
+    q, to, s = nn_descent._joined(nn_descent._got(nn_descent._scores(1)(graph, asks)))
+    assert sorted(to[q == 5]) == ids[:500].tolist() and (q == 8).sum() == 7
+    assert np.allclose(s, exact[to // 3, (q == 8).astype(int)], rtol=1e-12, atol=0)
+
+
+def test_nearest_keeps_to_the_largest_in_spite_of_ties():
+    near = np.zeros((3, 50), np.float32)
+    near[0, 40:45] = 1
+    near[1, 7] = -np.inf
+    hit = nn_descent._largest(near, 5, -np.inf)
+    assert set(range(40, 45)) <= set(hit.tolist()) and 57 not in hit and len(hit) <= 30
+    assert set(nn_descent._largest(near, 5, np.array([[0.5], [np.inf], [0.5]])).tolist()) == set(range(40, 45))
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
