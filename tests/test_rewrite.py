@@ -96,3 +96,27 @@ def test_large_results_of_few_keys_are_not_shuffled(spark, monkeypatch):
         plan = df._jdf.queryExecution().executedPlan().toString()
         top = plan[: plan.index("NestedLoopJoin")]
         assert "Exchange" not in top and "HashAggregate" not in top
+
+
+@pytest.fixture
+def many(spark, monkeypatch):
+    """Two sides of 44 keys and some hundred groups, nulls among keys, groups and values; each has keys that the other has not."""
+    monkeypatch.setattr(fused, "LEAST_PAIRS", 1)
+    rows = [(k % 41 if k % 17 else None, (k * 7) % 101 or None, k % 9 if k % 5 else None, float("nan") if k % 41 == 3 else k % 41 / 4) for k in range(3000)]
+    a = spark.createDataFrame([*rows, *[(50 + k, k, k, -1.0 - k) for k in range(3)]], "k int, g int, v long, w double")
+    return a, spark.createDataFrame([*rows[::-2], *[(60 + k, 7, k, None) for k in range(3)]], "k long, g int, v long, w double")
+
+
+def meets_in_one_task(df):
+    """Whether pairs are made and summed up without an exchange between."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Generate explode(_s1" in plan and "Exchange" not in plan[: plan.index("Generate explode(_s1")]
+
+
+def test_products_over_many_keys_are_not_shuffled(many):
+    a, b = (matrix.coo(m.dropna(), "g", "k", "v") for m in many)
+    got = matrix.matmul(a, matrix.transpose(b), "sparse")
+    x, y = a.select("j", "i", F.col("v").alias("x")), b.select("j", F.col("i").alias("h"), F.col("v").alias("y"))
+    plain = x.join(y, "j").groupBy("i", "h").agg(F.sum(F.col("x") * F.col("y")))
+    assert meets_in_one_task(got)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
