@@ -120,3 +120,15 @@ def test_products_over_many_keys_are_not_shuffled(many):
     plain = x.join(y, "j").groupBy("i", "h").agg(F.sum(F.col("x") * F.col("y")))
     assert meets_in_one_task(got)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("on", ["x.k = y.k", "x.w = y.w AND x.k = y.k", "x.w = y.w"])
+def test_sql_over_many_keys_is_not_shuffled(spark, many, on):
+    """Keys of unlike whole types, keys that are not numbers or null; groups of several types and sides without a match."""
+    for name, m in zip(("many_a", "many_b"), many, strict=True):
+        m.withColumn("d", F.col("w").cast("decimal(12,2)")).createOrReplaceTempView(name)
+    text = f"SELECT x.g, CAST(x.g % 7 AS STRING) AS t, y.g AS h, y.g / 2 AS f, SUM(x.v * y.v) AS s, SUM(x.d * y.v) AS d, COUNT(y.v) AS n, COUNT(*) AS c, MIN(x.v) AS lo, MAX(y.d) AS hi FROM many_a x JOIN many_b y ON {on} GROUP BY x.g, CAST(x.g % 7 AS STRING), y.g, y.g / 2"
+    plain, made = spark.sql(text), rewrite.factored(spark.sql(text), "always")
+    assert plain.dtypes == made.dtypes
+    assert meets_in_one_task(made)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, made.collect()))
